@@ -7,7 +7,8 @@ members than `region` is looked at by longer common prefixes until it is small e
 region), and all members of a small region are candidates of each other. Regions that are still larger at the last
 depth are near copies of one text in bulk: their members are compared with the region's smallest member and in
 blocks of about `region` members, dealt anew in each tree; after links have been joined into components, members
-outside the largest component of such a region are compared with all its other members, which is exact for the rest.
+outside the largest component of such a region are matched with members of other components by their rarest shingles,
+which is exact for the rest.
 Candidates whose signatures agree in too few places to come from the wanted similarity (over five standard errors
 away) are let go; the others are confirmed on their full sets.
 
@@ -31,6 +32,9 @@ from .common import blocks, materialise
 #: Minimum hashes of a class; trees of the forest; hashes of a tree's order; members of a small region.
 POOL, TREES, DEPTH, REGION = 64, 16, 8, 16
 
+#: Counters of shingles; their size does not grow with the input.
+COUNTERS = 1 << 18
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,11 +158,74 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, similarity: float, pool: int) -
     return near.where(same >= F.lit(math.floor(least * pool))).select("lo", "hi")
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of the documents of ids, once each."""
+    ids = materialise(ids, "ids")
+    some = docs.join(ids, "doc_id", "left_semi")
+    return materialise(some.mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of column 0, lists of shingles: how many fall on each counter."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        held = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        total += np.bincount((held % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+
+def _prefixes(counts, similarity: float):
+    """Rows (rep, comp, aside, size, shingle, at): the rarest shingles of a set, of which a similar set has one at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for rep, comp, aside, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.array(shingles, np.int64).view(np.uint64)
+                rare = np.lexsort((own, counts.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))
+                length = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+                for i, x in zip((rep, comp, aside, len(own)), out, strict=False):
+                    x += [i] * length
+                out[4] += own[rare[:length]].view(np.int64).tolist()
+                out[5] += range(length)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if i == 2 else pa.int64()) for i, x in enumerate(out)], ["rep", "comp", "aside", "size", "shingle", "at"])
+
+    return run
+
+
+def _rest(full: DataFrame, joined: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (lo, hi) of different components within over-full regions that can be similar by their rarest shingles.
+
+    Exact: two sets as similar as wanted share one of their rarest shingles in any order that both are seen in; here,
+    counts of shingles over these documents in a fixed number of counters. What follows the shared one in either
+    order bounds the intersection from above.
+    """
+    inside = full.join(joined.withColumnRenamed("hi", "rep"), "rep", "left").select("key", "rep", F.coalesce("lo", "rep").alias("comp"))
+    per = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.comp").alias("main"))
+    mixed = inside.join(main, "key").groupBy("rep").agg(F.max("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("aside"))
+    mixed = materialise(mixed, "mixed")
+    if mixed.isEmpty():
+        return mixed.select(F.col("rep").alias("lo"), F.col("rep").alias("hi"))
+    sets = _sets_of(docs, mixed.select(F.col("rep").alias("doc_id")), width).withColumnRenamed("doc_id", "rep")
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("shingles").mapInArrow(_tallied, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.counter] = r.n  # one row for each counter at most
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    rows = mixed.join(sets, "rep").select("rep", "comp", "aside", "shingles")
+    rows = materialise(rows.mapInArrow(_prefixes(shared, percent / 100), "rep long, comp long, aside boolean, size long, shingle long, at long"), "prefixes")
+    a = rows.where("aside").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("rep", "comp", "size", "at")])
+    b = rows.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("rep", "comp", "size", "at")])
+    most = F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
+    able = (100 + percent) * most >= percent * (F.col("size1") + F.col("size2"))
+    met = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("comp1") != F.col("comp2")) & able)
+    return met.select(F.least("rep1", "rep2").alias("lo"), F.greatest("rep1", "rep2").alias("hi")).distinct()
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (lo, hi) with 100 * intersection >= percent * union on full sets. pairs is materialised."""
-    ids = pairs.select(F.col("lo").alias("doc_id")).union(pairs.select("hi")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    sets = materialise(sets, "sets")
+    sets = _sets_of(docs, pairs.select(F.col("lo").alias("doc_id")).union(pairs.select("hi")).distinct(), width)
     met = pairs.join(sets.select(F.col("doc_id").alias("lo"), F.col("shingles").alias("ta")), "lo")
     met = met.join(sets.select(F.col("doc_id").alias("hi"), F.col("shingles").alias("tb")), "hi")
     common = F.size(F.array_intersect("ta", "tb"))
@@ -204,15 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, pool: in
     links = materialise(_confirmed(pairs, docs, percent, width), "links")
     joined = components(links)
 
-    # Exact for the rest: what lies outside the largest component of an over-full region meets all its other members.
-    inside = full.join(joined.withColumnRenamed("hi", "rep"), "rep", "left").select("key", "rep", F.coalesce("lo", "rep").alias("comp"))
-    per = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.comp").alias("main"))
-    mixed = inside.join(main, "key")
-    aside = mixed.where("comp <> main").select("key", F.col("rep").alias("r1"), F.col("comp").alias("c1"))
-    rest = aside.join(mixed.select("key", F.col("rep").alias("r2"), F.col("comp").alias("c2")), "key").where("c1 <> c2")
-    rest = rest.select(F.least("r1", "r2").alias("lo"), F.greatest("r1", "r2").alias("hi")).distinct()
-    rest = materialise(_agreeing(rest, reps, percent / 100, pool), "rest")
+    rest = materialise(_agreeing(_rest(full, joined, docs, percent, width), reps, percent / 100, pool), "rest")
     if not rest.isEmpty():
         joined = components(links.union(_confirmed(rest, docs, percent, width)))
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 #: A word, wherever this subpackage counts words: a maximal run of bytes other than ASCII white space.
 #: ``bytes.split()`` splits on exactly the same six separators.
@@ -49,6 +50,19 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def possibly_in(df: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 25) -> DataFrame:
+    """Rows of df whose id may be in ids, which is materialised and has the id only; the others surely are not.
+
+    A bitmap of the ids' hashes, of `bits` bits at most whatever the number of ids, is broadcast, so that wide rows
+    are let go where they lie, before a join shuffles them.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    maps = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bitmap"))
+    placed = df.withColumns({"p": place}).withColumns({"bucket": F.expr("bitmap_bucket_number(p)"), "bit": F.expr("bitmap_bit_position(p)")})
+    byte = F.conv(F.hex(F.expr("substring(bitmap, CAST(bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("long")
+    return placed.join(F.broadcast(maps), "bucket").where(F.getbit(byte, F.pmod("bit", F.lit(8)).cast("int")) == 1).select(*df.columns)
+
+
 def blocks(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch whose binary column number `text` holds about `limit` bytes, one row at least."""
     column, start, held = batch.column(text), 0, 0
@@ -60,3 +74,22 @@ def blocks(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterat
         held += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def over_texts(function: Callable[[list[bytes | None]], pa.Array], returns: str) -> Callable[[Column], Column]:
+    """A column function that maps whole texts, as bytes, block by block. The type is as in DDL."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = [function(b.column(0).to_pylist()) for b in blocks(pa.RecordBatch.from_arrays([column], ["t"]), 0)]
+            yield pa.concat_arrays(parts) if parts else function([])
+
+    mapped = F.arrow_udf(run, returns, ArrowUDFType.SCALAR_ITER)
+    return lambda text: mapped(text.cast("binary"))
+
+
+def bounded_batches(spark: SparkSession, limit: str = "33554432") -> None:
+    """Lets Spark cut the batches it sends to Python workers by bytes also, unless the session says how."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, str(2**31 - 1), "2147483647b"):
+        spark.conf.set(name, limit)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise
+from .common import blocks, materialise, possibly_in
 
 #: Minimum hashes of a class; trees of the forest; hashes of a tree's order; members of a small region.
 POOL, TREES, DEPTH, REGION = 64, 16, 8, 16
@@ -161,7 +161,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, similarity: float, pool: int) -
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles) of the documents of ids, once each."""
     ids = materialise(ids, "ids")
-    some = docs.join(ids, "doc_id", "left_semi")
+    some = possibly_in(docs, ids, "doc_id").join(ids, "doc_id", "left_semi")
     return materialise(some.mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
 
 

@@ -1,8 +1,8 @@
 """Quality rules: statistics of whole texts, two plain rules, and an isolation forest over the statistics.
 
-Method. Each tree of the forest splits a subsample of the statistics at random columns and random values until every
-row is alone or the depth limit is reached; a document's path to its leaf is short in most trees if it is unlike the
-others. Its anomaly score is 2 ** (-mean path / expected path). The threshold is calibrated on labelled rows: the
+Method. Each tree of the forest splits a subsample of good documents' statistics at random columns and random values
+until every row is alone or the depth limit is reached; values are drawn over the range that all labelled rows show. A
+document's path to its leaf is short in most trees if it is unlike the others. Its anomaly score is 2 ** (-mean path / expected path). The threshold is calibrated on labelled rows: the
 score that best separates good rows from bad ones (share of bad rows above it less `caution` times the share of good
 rows above it).
 
@@ -113,30 +113,35 @@ class Forest:
         return 2.0 ** (-total / max(len(self.trees), 1) / self.norm)
 
 
-def grow(x: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
+def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
+    """Trees over subsamples of x. A split is drawn over what is left of the range low to high of its column.
+
+    So a split can part a region that holds rows from one that holds none: what lies there is alone at once, though no
+    row of x shows that the column varies.
+    """
     dealt = np.random.Generator(np.random.PCG64(seed))
     size = min(subsample, len(x))
     limit = int(np.ceil(np.log2(max(size, 2)))) + 4
+    usable = np.flatnonzero(high > low)
     out = []
     for _ in range(trees):
         nodes: list[list[float]] = []
 
-        def split(rows: np.ndarray, depth: int, nodes=nodes) -> int:
+        def split(rows: np.ndarray, depth: int, low: np.ndarray, high: np.ndarray, nodes=nodes) -> int:
             me = len(nodes)
             nodes.append([-1, 0.0, 0, 0, depth + _expected(len(rows))])
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            usable = np.flatnonzero(high > low)
             if len(rows) > 1 and depth < limit and len(usable):
                 c = int(dealt.choice(usable))
                 v = dealt.uniform(low[c], high[c])
                 under = rows[:, c] < v
-                if under.any() and not under.all():
-                    nodes[me][0:2] = c, v
-                    nodes[me][2] = split(rows[under], depth + 1)
-                    nodes[me][3] = split(rows[~under], depth + 1)
+                below, above = high.copy(), low.copy()
+                below[c] = above[c] = v
+                nodes[me][0:2] = c, v
+                nodes[me][2] = split(rows[under], depth + 1, low, below)
+                nodes[me][3] = split(rows[~under], depth + 1, above, high)
             return me
 
-        split(x[dealt.choice(len(x), size, replace=False)], 0)
+        split(x[dealt.choice(len(x), size, replace=False)], 0, low, high)
         a = np.array(nodes)
         out.append((a[:, 0].astype(np.int64), a[:, 1], a[:, 2].astype(np.int64), a[:, 3].astype(np.int64), a[:, 4]))
     return Forest(out, max(_expected(size), 1e-9))
@@ -153,7 +158,7 @@ def calibrated(good: np.ndarray, bad: np.ndarray, caution: float) -> float:
     return float(cut[i] + (cut[min(i + 1, len(cut) - 1)] - cut[i]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000, trees: int = 128, subsample: int = 256, caution: float = 8.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000, trees: int = 128, subsample: int = 1024, caution: float = 20.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
     """labels: id_col and label_col (1: good, 0: bad; others are not used). Without good rows the forest keeps all."""
     n = labels.where(F.col(label_col).isin(0, 1)).count()
     some = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 20)) < min(1.0, max_labelled / max(n, 1)) * (1 << 20)
@@ -165,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000, trees: in
     is_good = seen["label"].to_numpy() == 1
     if not is_good.any():
         return Forest([], 1.0)
-    forest = grow(x[is_good], trees, subsample, seed)
+    forest = grow(x[is_good], x.min(axis=0), x.max(axis=0), trees, subsample, seed)
     scores = forest.scores(x)
     forest.threshold = calibrated(scores[is_good], scores[~is_good], caution)
     return forest

@@ -36,7 +36,7 @@ TEMPLATES: dict[str, str] = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
-_COMMON = frozenset("a an and any as at be by can for from if in is it not of on or that the this to under with you".split())
+_COMMON = frozenset("a all an and any are as at be been but by can do for from had has have if in into is it its may more no not of on or other out so that the their they this to under up use used was were will with you your".split())
 
 
 def words(text: str) -> list[str]:
@@ -61,6 +61,19 @@ def asked_words(templates: dict[str, str], dice: float) -> list[str]:
     return sorted(out)
 
 
+def any_of(words_: list[str]) -> str:
+    """A regular expression for any of the words as a word, in lower case; words with a common beginning share it."""
+
+    def branch(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in rest:
+            heads.setdefault(w[:1], []).append(w[1:])
+        parts = [h + branch(tails) if h else "" for h, tails in sorted(heads.items(), reverse=True)]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return f"(?:^|[^a-z0-9]){branch(words_)}(?![a-z0-9])"
+
+
 def _words(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -80,8 +93,7 @@ def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, str] | None =
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     table = spark.createDataFrame([(k, bigrams(v)) for k, v in sorted(templates.items())], "license string, grams array<string>").withColumn("n", F.size("grams"))
-    asked = F.array(*map(F.lit, asked_words(templates, dice)))
-    maybe = F.arrays_overlap(_words(F.col(text_col)), asked)
+    maybe = F.lower(text_col).rlike(any_of(asked_words(templates, dice))) if templates else F.lit(False)
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.when(maybe, F.col(text_col)).alias("t")), "licence-texts")
     units = F.array_distinct(F.concat(F.split("t", "\n"), F.split("t", r"\n[\x20\t\r]*\n"), F.array("t")))
     cut = rows.where("t IS NOT NULL").select("t", F.explode(units).alias("u")).select("t", _bigrams(_words(F.col("u"))).alias("own")).where("size(own) > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ SPACE = " \t\r\n"
 _BOUNDARY = r"""(?<=[.!?])\s+(?=[A-Z0-9"'(])"""
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it, also within lambdas over arrays."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE))
 
@@ -55,11 +62,15 @@ def normalised(text: Column) -> Column:
 
 def n_grams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams in order. Each shift is one pass, so the work grows with n times the tokens only."""
-    count = F.size(tokens) - (n - 1)
-    out = F.slice(tokens, F.lit(1), count)
-    for i in range(1, n):
-        out = F.zip_with(out, F.slice(tokens, F.lit(1 + i), count), lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(count > 0, out).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        count = F.size(t) - (n - 1)
+        out = F.slice(t, F.lit(1), count)
+        for i in range(1, n):
+            out = F.zip_with(out, F.slice(t, F.lit(1 + i), count), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(count > 0, out).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, of)
 
 
 def clamped(x: Column, low: float = 0.0, high: float = 100.0) -> Column:

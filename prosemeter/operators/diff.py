@@ -44,10 +44,13 @@ def operations(before: str, after: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf(OPS)
-def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
+def word_diff(before: Column, after: Column) -> Column:
     """Operations same, del and add in document order; null texts count as empty."""
-    return pd.Series([operations(a or "", b or "") for a, b in zip(before, after, strict=True)], dtype=object)
+
+    def run(befores: pd.Series, afters: pd.Series) -> pd.Series:
+        return pd.Series([operations(a or "", b or "") for a, b in zip(befores, afters, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, OPS)(before, after)
 
 
 def reconstructed(ops: Column, side: str) -> Column:

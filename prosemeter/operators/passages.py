@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences
+from ..functions.text import let, sentences
 from . import issues
 
 NAMES = ("human", "mix", "ai")
@@ -15,7 +15,7 @@ def raw_weights(sents: Column, allowlist: list[str] | None = None, keep_structur
     """By sentence: 0, 1 or 2, from its own distinct issues (high 2, medium 1, low 0)."""
 
     def of(s: Column) -> Column:
-        found = issues.distinct_issues(issues.checks(s, sentences(s), allowlist, keep_structure))
+        found = issues.distinct_issues(issues.checks(s, sentences(s), allowlist, keep_structure, repeats=False))
         return F.least(F.lit(2), issues.penalty(found, 2, 1, 0))
 
     return F.transform(sents, of)
@@ -23,22 +23,26 @@ def raw_weights(sents: Column, allowlist: list[str] | None = None, keep_structur
 
 def smoothed(weights: Column) -> Column:
     """Six tenths of a sentence's own weight and two of each neighbour's; an edge has itself for a neighbour."""
-    n = F.size(weights)
 
-    def of(w: Column, i: Column) -> Column:
-        left, right = F.coalesce(F.get(weights, i - 1), w), F.coalesce(F.get(weights, i + 1), w)
-        s = 6 * w + 2 * left + 2 * right
-        return F.when(s >= 14, 2).when(s >= 6, 1).otherwise(0)
+    def all_of(ws: Column) -> Column:
+        def of(w: Column, i: Column) -> Column:
+            s = 6 * w + 2 * F.coalesce(F.get(ws, i - 1), w) + 2 * F.coalesce(F.get(ws, i + 1), w)
+            return F.when(s >= 14, 2).when(s >= 6, 1).otherwise(0)
 
-    return F.when(n < 2, weights).otherwise(F.transform(weights, of))
+        return F.when(F.size(ws) < 2, ws).otherwise(F.transform(ws, of))
+
+    return let(weights, all_of)
 
 
 def regions(weights: Column, least: int = 2) -> Column:
     """Structs (start, end, count) of runs of at least `least` sentences of weight 2; zero-based, ends inclusive."""
-    ends = F.filter(F.transform(F.sequence(F.lit(0), F.size(weights)), lambda i: F.when((F.coalesce(F.get(weights, i), F.lit(0)) != 2) | (i == F.size(weights)), i)), lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(-1)), F.slice(ends, F.lit(1), F.size(ends) - 1))
-    runs = F.zip_with(starts, ends, lambda a, b: F.struct((a + 1).alias("start"), (b - 1).alias("end"), (b - a - 1).alias("count")))
-    return F.filter(runs, lambda r: r["count"] >= least)
+
+    def between(ends: Column) -> Column:
+        starts = F.concat(F.array(F.lit(-1)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        runs = F.zip_with(starts, ends, lambda a, b: F.struct((a + 1).alias("start"), (b - 1).alias("end"), (b - a - 1).alias("count")))
+        return F.filter(runs, lambda r: r["count"] >= least)
+
+    return let(weights, lambda w: let(F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: F.coalesce(F.get(w, i), F.lit(0)) != 2), between))
 
 
 def labelled(docs: DataFrame, allowlist: list[str] | None = None, keep_structure: bool = False) -> DataFrame:
@@ -54,5 +58,5 @@ def named(weight: Column) -> Column:
 
 def distribution(weights: Column, value: int) -> Column:
     """Whole percent of sentences of a weight; 0 without sentences."""
-    n = F.size(F.filter(weights, lambda w: w == value))
-    return F.coalesce(F.bround(F.try_divide(n * 100.0, F.size(weights))), F.lit(0)).cast("int")
+    share = let(weights, lambda ws: F.try_divide(F.size(F.filter(ws, lambda w: w == value)) * 100.0, F.size(ws)))
+    return F.coalesce(F.bround(share), F.lit(0)).cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import all_of, clamped, letters, long_words, sentences, spaced, words
+from ..functions.text import all_of, clamped, let, letters, long_words, sentences, spaced, words
 
 
 def word_set(items: list[str]) -> Column:
@@ -31,25 +31,29 @@ def _sum(xs: Column) -> Column:
 
 
 def mean_of(xs: Column) -> Column:
-    return F.try_divide(_sum(xs), F.size(xs))
+    return let(xs, lambda x: F.try_divide(_sum(x), F.size(x)))
 
 
 def length_stats(sents: Column) -> tuple[Column, Column]:
     """Mean of sentence lengths in words and their coefficient of variation: sample deviation over mean, 0 below two."""
-    n = lengths(sents)
-    m = mean_of(n)
-    spread = F.sqrt(F.try_divide(_sum(F.transform(n, lambda x: (x - m) * (x - m))), F.size(n) - 1))
-    return F.coalesce(m, F.lit(0.0)), F.when(F.size(n) < 2, 0.0).otherwise(F.coalesce(F.try_divide(spread, m), F.lit(0.0)))
+
+    def varied(n: Column) -> Column:
+        def around(m: Column) -> Column:
+            spread = F.sqrt(F.try_divide(_sum(F.transform(n, lambda x: (x - m) * (x - m))), F.size(n) - 1))
+            return F.when(F.size(n) < 2, 0.0).otherwise(F.coalesce(F.try_divide(spread, m), F.lit(0.0)))
+
+        return let(mean_of(n), around)
+
+    return F.coalesce(mean_of(lengths(sents)), F.lit(0.0)), let(lengths(sents), varied)
 
 
 def burstiness(sents: Column) -> Column:
     """0 to 100 by variation of sentence lengths; null below five sentences."""
-    return F.when(F.size(sents) >= 5, clamped(length_stats(sents)[1] / 0.6 * 100))
+    return F.when(F.size(sents) >= 5, let(length_stats(sents)[1] / 0.6 * 100, lambda x: clamped(x)))
 
 
 def type_token_ratio(text: Column) -> Column:
-    w = words(text)
-    return F.try_divide(F.size(F.array_distinct(w)), F.size(w))
+    return let(words(text), lambda w: F.try_divide(F.size(F.array_distinct(w)), F.size(w)))
 
 
 def content_words(text: Column) -> Column:
@@ -62,10 +66,13 @@ def coherence(sents: Column) -> Column:
 
     Null without a pair of neighbours that both have content words.
     """
-    sets = F.transform(sents, content_words)
-    pairs = F.zip_with(F.slice(sets, F.lit(1), F.size(sets) - 1), F.slice(sets, F.lit(2), F.size(sets) - 1), lambda a, b: F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b))))
-    measured = F.filter(pairs, lambda x: x.isNotNull())
-    return F.when(F.size(sets) >= 2, clamped(mean_of(measured) * 200))
+
+    def of(sets: Column) -> Column:
+        pairs = F.zip_with(F.slice(sets, F.lit(1), F.size(sets) - 1), F.slice(sets, F.lit(2), F.size(sets) - 1), lambda a, b: F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b))))
+        measured = F.filter(pairs, lambda x: x.isNotNull())
+        return F.when(F.size(sets) >= 2, let(mean_of(measured), lambda m: clamped(m * 200)))
+
+    return let(F.transform(sents, content_words), of)
 
 
 def opener(sentence: Column) -> Column:
@@ -90,18 +97,21 @@ def mark_count(text: Column, marks: str = lexicon.MARKS) -> Column:
 
 def everyday_share(tokens: Column, everyday: Column) -> Column:
     """Share of tokens within an array of everyday words; 1 without tokens."""
-    return F.coalesce(F.try_divide(F.size(F.filter(tokens, lambda w: F.array_contains(everyday, w))).cast("double"), F.size(tokens)), F.lit(1.0))
+    return let(tokens, lambda t: F.coalesce(F.try_divide(F.size(F.filter(t, lambda w: F.array_contains(everyday, w))).cast("double"), F.size(t)), F.lit(1.0)))
+
+
+def _ratio(t: str | None) -> float | None:
+    raw = re.sub(r"\s+", " ", t or "").strip().encode()
+    return len(zlib.compress(raw)) / len(raw) if len(raw) >= 800 else None
 
 
-@F.pandas_udf("double")
-def compression_ratio(text: pd.Series) -> pd.Series:
+def compression_ratio(text: Column) -> Column:
     """Compressed over plain bytes of the white-space-collapsed text; null below 800 bytes. Spark has no deflate."""
 
-    def of(t: str | None) -> float | None:
-        raw = re.sub(r"\s+", " ", t or "").strip().encode()
-        return len(zlib.compress(raw)) / len(raw) if len(raw) >= 800 else None
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_ratio).astype("float64")
 
-    return text.map(of).astype("float64")
+    return F.pandas_udf(run, "double")(text)
 
 
 def perplexity(ratio: Column) -> Column:
@@ -142,7 +152,22 @@ def word_choice(docs: DataFrame, table: DataFrame, common: int = 5000, unknown:
     return scored.withColumn("word_choice", F.when(F.col("n") >= 30, clamped(score)))
 
 
+def repeated(text: Column, sents: Column) -> Column:
+    """Structs (n, word) of long words that stand four times and at least once a sentence; n is negative, ascending.
+
+    In sorted order a word stands k times if it is its own (k - 1)th successor: one pass over a sorted array within
+    the row, where grouping words by document would shuffle them all.
+    """
+
+    def of(s: Column, k: Column) -> Column:
+        often = F.array_distinct(F.filter(F.transform(s, lambda w, i: F.when(F.get(s, i + k - 1) == w, w)), lambda w: w.isNotNull()))
+        return F.sort_array(F.transform(often, lambda w: F.struct((-F.size(F.filter(s, lambda x: x == w))).alias("n"), w.alias("word"))))
+
+    tokens = F.sort_array(not_stopwords(long_words(text)))
+    return let(F.greatest(F.lit(4), F.size(sents)), lambda k: let(tokens, lambda s: of(s, k)))
+
+
 def repetitions(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, n) of long words repeated four times and at least once a sentence."""
-    s = docs.select("doc_id", F.size(sentences(F.col("text"))).alias("ns"), F.explode(not_stopwords(long_words(F.col("text")))).alias("word"))
-    return s.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.first("ns").alias("ns")).where("n >= 4 AND n >= ns").select("doc_id", "word", "n")
+    """(doc_id, word, n) of the repeated long words of docs."""
+    rows = docs.select("doc_id", repeated(F.col("text"), sentences(F.col("text"))).alias("r"))
+    return rows.select("doc_id", F.explode("r").alias("r")).select("doc_id", "r.word", (-F.col("r.n")).cast("long").alias("n"))

@@ -48,7 +48,7 @@ def quota(usage: DataFrame, requested: int, limit: int = 1000) -> DataFrame:
 
 def hits_in_window(events: DataFrame, key: str, seconds: int, budget: int) -> DataFrame:
     """Hits of the last `seconds` up to each event, and whether they are within the budget, counting denied ones too."""
-    w = Window.partitionBy(key).orderBy(F.col("ts").cast("double")).rangeBetween(-seconds, 0)
+    w = Window.partitionBy(key).orderBy(F.col("ts").cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
     return events.withColumn("hits", F.count(F.lit(1)).over(w)).withColumn("within", F.col("hits") <= budget)
 
 
@@ -79,7 +79,7 @@ def rate_limited(events: DataFrame, key: str, seconds: int, budget: int) -> Data
                     held.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed)], [key, "event_id", "allowed"])
 
-    rows = events.select(key, "event_id", F.col("ts").cast("double").alias("at")).repartition(key).sortWithinPartitions(key, "at", "event_id")
+    rows = events.select(key, "event_id", F.col("ts").cast("timestamp").cast("double").alias("at")).repartition(key).sortWithinPartitions(key, "at", "event_id")
     kind = dict(events.dtypes)[key]
     return rows.select(key, "event_id", "at").mapInArrow(run, f"{key} {kind}, event_id long, allowed boolean")
 

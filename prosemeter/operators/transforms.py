@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import sentences, spaced
+from ..functions.text import let, sentences, spaced
 from . import signals
 
 
@@ -54,17 +54,24 @@ def swapper(table: dict[str, str]) -> Callable[[str], str]:
     return once
 
 
-def _mapped(function: Callable[[str], str]) -> Callable[[Column], Column]:
-    @F.pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(function, na_action="ignore")
+def _mapped(text: Column, *tables: dict[str, str]) -> Column:
+    """The tables' swaps one after another."""
 
-    return run
+    def run(texts: pd.Series) -> pd.Series:
+        for table in tables:
+            texts = texts.map(swapper(table), na_action="ignore")
+        return texts
 
+    return F.pandas_udf(run, "string")(text)
 
-phrase_swaps = _mapped(swapper(lexicon.PHRASE_SWAPS))
-#: A chain of two entries is followed: the first is longer, so it is replaced in a first pass.
-plain_register = _mapped(lambda t: swapper(lexicon.PLAIN_SWAPS)(swapper({k: v for k, v in lexicon.PLAIN_SWAPS.items() if v in lexicon.PLAIN_SWAPS})(t)))
+
+def phrase_swaps(text: Column) -> Column:
+    return _mapped(text, lexicon.PHRASE_SWAPS)
+
+
+def plain_register(text: Column) -> Column:
+    """A chain of two entries is followed: what leads to another entry is replaced in a first pass."""
+    return _mapped(text, {k: v for k, v in lexicon.PLAIN_SWAPS.items() if v in lexicon.PLAIN_SWAPS}, lexicon.PLAIN_SWAPS)
 
 
 def conditional_transitions(text: Column) -> Column:
@@ -112,8 +119,8 @@ def without_dashes(text: Column) -> Column:
 
 def finished(text: Column) -> Column:
     """Sentences joined by one space, with a full stop if nothing ends the text."""
-    joined = F.array_join(sentences(text), " ")
-    return F.when((joined == "") | joined.rlike(r"""[.!?]["')]?$"""), joined).otherwise(F.concat(joined, F.lit(".")))
+    ended = lambda j: F.when((j == "") | j.rlike(r"""[.!?]["')]?$"""), j).otherwise(F.concat(j, F.lit(".")))
+    return let(F.array_join(sentences(text), " "), ended)
 
 
 def chance(key: Column, seed: int, stage: str, place: Column) -> Column:
@@ -123,10 +130,9 @@ def chance(key: Column, seed: int, stage: str, place: Column) -> Column:
 
 def varied_openers(key: Column, text: Column, intensity: float, seed: int = 0) -> Column:
     """From three sentences on, a hedge at the start goes with a chance of .3 + .8 * intensity."""
-    s = sentences(text)
     hedge = r"^(?:Perhaps|Generally speaking),? "
-    out = F.transform(s, lambda x, i: F.when(x.rlike(hedge) & (chance(key, seed, "open", i) < 0.3 + 0.8 * intensity), F.regexp_replace(x, hedge, "")).otherwise(x))
-    return F.when(F.size(s) < 3, text).otherwise(capitalised(F.array_join(out, " ")))
+    drop = lambda x, i: F.when(x.rlike(hedge) & (chance(key, seed, "open", i) < 0.3 + 0.8 * intensity), F.regexp_replace(x, hedge, "")).otherwise(x)
+    return let(sentences(text), lambda s: F.when(F.size(s) < 3, text).otherwise(capitalised(F.array_join(F.transform(s, drop), " "))))
 
 
 def _by_hits(key: Column, text: Column, table: dict[str, list[str]], p: float, seed: int, stage: str) -> Column:
@@ -161,28 +167,34 @@ def asides(key: Column, text: Column, intensity: float, seed: int = 0) -> Column
     """From intensity .75 and four sentences on: an aside before some sentences that begin safely, a third at most."""
     if intensity < 0.75:
         return text
-    s = sentences(text)
     safe = r"^(?:The|This|It|We|They) "
-    chosen = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).rlike(safe) & (chance(key, seed, "aside", i) < 0.35))
-    few = F.slice(chosen, F.lit(1), F.floor(F.size(s) / 3).cast("int"))
-    out = F.transform(s, lambda x, i: F.when(F.array_contains(few, i), F.concat(F.lit("In short, "), F.lower(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 30))).otherwise(x))
-    return F.when(F.size(s) < 4, text).otherwise(F.array_join(out, " "))
+    aside = lambda x: F.concat(F.lit("In short, "), F.lower(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 30))
+    return _some(text, 3, lambda x, i: x.rlike(safe) & (chance(key, seed, "aside", i) < 0.35), aside)
+
+
+def _some(text: Column, part: int, wanted: Callable[[Column, Column], Column], change: Callable[[Column], Column]) -> Column:
+    """From four sentences on: the first of the wanted sentences changed, one in `part` of all at most."""
+
+    def of(s: Column) -> Column:
+        chosen = F.filter(F.transform(s, lambda x, i: F.when(wanted(x, i), i)), lambda i: i.isNotNull())
+        few = F.slice(chosen, F.lit(1), F.floor(F.size(s) / part).cast("int"))
+        changed = let(few, lambda f: F.transform(s, lambda x, i: F.when(F.array_contains(f, i), change(x)).otherwise(x)))
+        return F.when(F.size(s) < 4, text).otherwise(F.array_join(changed, " "))
+
+    return let(sentences(text), of)
 
 
 def fronted(key: Column, text: Column, intensity: float, seed: int = 0) -> Column:
     """From intensity .75 and four sentences on: "A because B." may become "Because B, a."; a quarter at most."""
     if intensity < 0.75:
         return text
-    s = sentences(text)
     clause = r"^([A-Z])([^,;:]+) (because|although|while|when|if) ([^,;:]+)([.!?])$"
-    chosen = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i).rlike(clause) & (chance(key, seed, "front", i) <= 0.55))
-    few = F.slice(chosen, F.lit(1), F.floor(F.size(s) / 4).cast("int"))
 
     def turn(x: Column) -> Column:
         g = [F.regexp_extract(x, clause, i) for i in range(1, 6)]
         return F.concat(F.initcap(g[2]), F.lit(" "), g[3], F.lit(", "), F.lower(g[0]), g[1], g[4])
 
-    return F.when(F.size(s) < 4, text).otherwise(F.array_join(F.transform(s, lambda x, i: F.when(F.array_contains(few, i), turn(x)).otherwise(x)), " "))
+    return _some(text, 4, lambda x, i: x.rlike(clause) & (chance(key, seed, "front", i) <= 0.55), turn)
 
 
 def split_long(text: Column, max_words: int) -> Column:
@@ -216,24 +228,26 @@ def merged_short(key: Column, text: Column, intensity: float, min_words: int, se
 
 def varied_length(key: Column, text: Column, intensity: float, min_words: int, max_words: int, seed: int = 0) -> Column:
     """Only if sentence lengths vary little (under .4) and there are five sentences: splits, then merges."""
-    s = sentences(text)
-    flat = (F.size(s) >= 5) & (signals.length_stats(s)[1] < 0.4)
+    flat = let(sentences(text), lambda s: (F.size(s) >= 5) & (signals.length_stats(s)[1] < 0.4))
     return F.when(flat, merged_short(key, split_long(text, max_words), intensity, min_words, seed)).otherwise(text)
 
 
 def diversified(key: Column, text: Column, seed: int = 0) -> Column:
     """While rhythm is flat (under .3) and there are four sentences: long ones are split, then neighbours may join."""
-    s = sentences(text)
-    flat = (F.size(s) >= 4) & (signals.length_stats(s)[1] < 0.30)
+    flat = let(sentences(text), lambda s: (F.size(s) >= 4) & (signals.length_stats(s)[1] < 0.30))
     return F.when(flat, merged_short(key, split_long(text, 18), 0.5, 35, seed)).otherwise(text)
 
 
 def forced_rhythm(text: Column) -> Column:
-    """If rhythm is still flat, every other pair of neighbours is joined, which always makes lengths uneven."""
-    s = sentences(text)
-    flat = (F.size(s) >= 4) & (signals.length_stats(s)[1] < 0.30)
-    first = F.concat(F.rtrim(F.get(s, F.lit(0)), F.lit(".!?")), F.lit(", and "), F.lower(F.left(F.get(s, F.lit(1)), F.lit(1))), F.substring(F.get(s, F.lit(1)), 2, 1 << 30))
-    return F.when(flat, F.array_join(F.concat(F.array(first), F.slice(s, F.lit(3), F.greatest(F.size(s) - 2, F.lit(0)))), " ")).otherwise(text)
+    """If rhythm is still flat, the first two sentences become one, which makes lengths uneven."""
+
+    def of(s: Column) -> Column:
+        flat = (F.size(s) >= 4) & (signals.length_stats(s)[1] < 0.30)
+        second = F.get(s, F.lit(1))
+        first = F.concat(F.rtrim(F.get(s, F.lit(0)), F.lit(".!?")), F.lit(", and "), F.lower(F.left(second, F.lit(1))), F.substring(second, 2, 1 << 30))
+        return F.when(flat, F.array_join(F.concat(F.array(first), F.slice(s, F.lit(3), F.greatest(F.size(s) - 2, F.lit(0)))), " ")).otherwise(text)
+
+    return let(sentences(text), of)
 
 
 def rewrite(text: Column) -> Column:

@@ -55,6 +55,6 @@ def rate_limited(events: DataFrame, key: str, seconds: int, budget: int, late: s
             state.setTimeoutTimestamp(int((rows["at"].max() + seconds) * 1000) + 1 if state.getCurrentWatermarkMs() < int((rows["at"].max() + seconds) * 1000) else state.getCurrentWatermarkMs() + 1)
         yield pd.DataFrame({key: [k[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "allowed": allowed})
 
-    rows = events.withWatermark("ts", late).select(key, "event_id", "ts", F.col("ts").cast("double").alias("at"))
+    rows = events.withWatermark("ts", late).select(key, "event_id", "ts", F.col("ts").cast("timestamp").cast("double").alias("at"))
     kind = dict(events.dtypes)[key]
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)

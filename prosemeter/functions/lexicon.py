@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 #: (pattern on lowered text, label, suggestion, kind, severity). A null severity is derived: high for several words,
 #: medium for one.
 TELLS: list[tuple[str, str, str, str, str | None]] = [
@@ -34,6 +36,14 @@ TELLS: list[tuple[str, str, str, str, str | None]] = [
     (r"\bgenerally speaking\b", "generally speaking", "mostly", "hedge", None),
 ]
 
+
+
+def anchor(pattern: str) -> str:
+    """The longest literal that every match of a tell pattern contains."""
+    bare = re.sub(r"\(\?:[^)]*\)\??|\[[^\]]*\]\??|\\b|.\?", "\0", pattern)
+    return max(bare.split("\0"), key=len)
+
+
 #: Words that say little by themselves.
 STOPWORDS = "a about after all also an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its just like may me more most my no not of on one only or other our out over she so some such than that the their them then there these they this to up was we were what when which who will with would you your".split()
 

@@ -28,7 +28,12 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table; texts of a file too small to be split are dealt to all cores, as each costs far more than its shuffle."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def drafts(spark: SparkSession, d: str) -> DataFrame:

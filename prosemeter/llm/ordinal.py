@@ -109,7 +109,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grade
     return Ordinal(w, np.concatenate([free[:1], np.exp(free[1:])]).cumsum())
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, wanted: int, max_rated: int = 8000, buckets: int = 1 << 18, epochs: int = 8, rate: float = 0.5, decay: float = 1e-6, caution: float = 4.0, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Ordinal:
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, wanted: int, max_rated: int = 20000, buckets: int = 1 << 18, epochs: int = 8, rate: float = 0.5, decay: float = 1e-6, caution: float = 4.0, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Ordinal:
     """ratings: id_col and grade_col from 0 to n_grades - 1; rows outside are not used. wanted: the grade to select from.
 
     Without usable ratings all weights are 0 and every text passes.

@@ -199,7 +199,7 @@ def labelled(docs: DataFrame, docs_per_language: int, id_col: str, text_col: str
     return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("raw"), F.pmod(F.shiftright(dealt, 20), F.lit(4)).alias("part"))
 
 
-def fit(docs: DataFrame, order: int = 4, docs_per_language: int = 2000, tail: float = 0.9995, slack: float = 1.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, order: int = 4, docs_per_language: int = 2000, tail: float = 0.9995, slack: float = 3.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The models of all languages of lang_col, on a sample of rows with a language and a text (see `labelled`).
 
     tail, slack: a text is rejected beyond `slack` times the `tail` quantile of the calibration texts' excess.

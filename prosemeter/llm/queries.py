@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, neardup, ogg, ordinal, packing, pii, quality_rules, tokens
+from . import langid, licenses, mixing, neardup, ogg, oracles, ordinal, packing, pii, quality_rules, tokens
 from .common import bounded_batches, n_words, read
 
 #: Words of a bin; where the public tokenizers' vocabularies lie; of the mixed documents, those with fewer words
@@ -100,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_license_scan": oracles.license_scan(), "op7_mixing": oracles.mixing(SHORT)}

@@ -15,7 +15,7 @@ def raw_weights(sents: Column, allowlist: list[str] | None = None, keep_structur
     """By sentence: 0, 1 or 2, from its own distinct issues (high 2, medium 1, low 0)."""
 
     def of(s: Column) -> Column:
-        found = issues.distinct_issues(issues.checks(s, sentences(s), allowlist, keep_structure, repeats=False))
+        found = issues.distinct_issues(issues.weighty(s, allowlist, keep_structure))
         return F.least(F.lit(2), issues.penalty(found, 2, 1, 0))
 
     return F.transform(sents, of)

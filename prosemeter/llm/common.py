@@ -77,14 +77,18 @@ def blocks(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterat
 
 
 def over_texts(function: Callable[[list[bytes | None]], pa.Array], returns: str) -> Callable[[Column], Column]:
-    """A column function that maps whole texts, as bytes, block by block. The type is as in DDL."""
+    """A column function that maps whole texts, as bytes, block by block. The type is as in DDL.
+
+    It is named nondeterministic, though it is not, so that Catalyst never computes it twice in a stage, once for a
+    filter and once for what is selected: that would take twice the time and twice the Python workers.
+    """
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             parts = [function(b.column(0).to_pylist()) for b in blocks(pa.RecordBatch.from_arrays([column], ["t"]), 0)]
             yield pa.concat_arrays(parts) if parts else function([])
 
-    mapped = F.arrow_udf(run, returns, ArrowUDFType.SCALAR_ITER)
+    mapped = F.arrow_udf(run, returns, ArrowUDFType.SCALAR_ITER).asNondeterministic()
     return lambda text: mapped(text.cast("binary"))
 
 

@@ -32,7 +32,7 @@ _PAD = "\x01"
 _LETTER: list[np.ndarray] = []
 
 #: Text at once while scoring; the arrays over its characters take some 100 bytes for each.
-_SCORED_BYTES = 1 << 20
+_SCORED_BYTES = 1 << 18
 
 
 def _letters() -> np.ndarray:

@@ -6,9 +6,10 @@ sequence of hashes out of the pool. Classes that share the first hash of an orde
 members than `region` is looked at by longer common prefixes until it is small enough (so depth adapts to each
 region), and all members of a small region are candidates of each other. Regions that are still larger at the last
 depth are near copies of one text in bulk: their members are compared with the region's smallest member and in
-blocks of about `region` members, dealt anew in each tree; after links have been joined into components, members
-outside the largest component of such a region are matched with members of other components by their rarest shingles,
-which is exact for the rest.
+blocks of about `region` members, dealt anew in each tree. Longer prefixes part similar classes too, so after links
+have been joined into components, all classes that were in a region of more than `region` members by its first hash are
+matched with members of other components by their rarest shingles, which is exact for these regions. So similar classes
+are missed only if they share the first hash of no order.
 Candidates whose signatures agree in too few places to come from the wanted similarity (over five standard errors
 away) are let go; the others are confirmed on their full sets.
 
@@ -197,12 +198,14 @@ def _prefixes(counts, similarity: float):
 def _rest(full: DataFrame, joined: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (lo, hi) of different components within over-full regions that can be similar by their rarest shingles.
 
-    Exact: two sets as similar as wanted share one of their rarest shingles in any order that both are seen in; here,
+    Of two components that meet in a region, the members of the smaller one ask; size is counted over all regions, so
+    that the largest never asks. Exact: two sets as similar as wanted share one of their rarest shingles in any order that both are seen in; here,
     counts of shingles over these documents in a fixed number of counters. What follows the shared one in either
     order bounds the intersection from above.
     """
     inside = full.join(joined.withColumnRenamed("hi", "rep"), "rep", "left").select("key", "rep", F.coalesce("lo", "rep").alias("comp"))
-    per = inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    wide = inside.groupBy("comp").agg(F.count(F.lit(1)).alias("c"))
+    per = inside.select("key", "comp").distinct().join(wide, "comp")
     main = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.comp").alias("main"))
     mixed = inside.join(main, "key").groupBy("rep").agg(F.max("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("aside"))
     mixed = materialise(mixed, "mixed")
@@ -271,7 +274,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, pool: in
     links = materialise(_confirmed(pairs, docs, percent, width), "links")
     joined = components(links)
 
-    rest = materialise(_agreeing(_rest(full, joined, docs, percent, width), reps, percent / 100, pool), "rest")
+    crowded = first.where(F.col("c") > region).select("key", "rep")
+    rest = materialise(_agreeing(_rest(crowded, joined, docs, percent, width), reps, percent / 100, pool), "rest")
     if not rest.isEmpty():
         joined = components(links.union(_confirmed(rest, docs, percent, width)))
 

@@ -82,6 +82,24 @@ def test_a_large_group_of_near_copies(spark):
     assert got == brute_components(rows, 85)
 
 
+def test_texts_linked_with_one_of_a_large_group(spark):
+    """Over-full regions that longer prefixes part: each odd text is linked with one near copy only, whose orders may not agree for long."""
+    random.seed(12)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        w[5 + i] = f"t{i}"
+        v = list(w)
+        for j in random.sample([x for x in range(5, 395, 5) if abs(x - 5 - i) > 9], 8):
+            v[j] = f"s{i}x{j}"
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(v))]
+    want = brute_components(rows, 80)
+    assert {c for _, c in want.values()} == {0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 80).collect()} == want
+
+
 def test_near_duplicates_at_the_edges(spark):
     got = neardup.near_duplicates(edge(spark), 85).collect()
     assert len(got) == len(TEXTS) + 4

@@ -4,8 +4,7 @@ Method, in DataFrame operations only. A unit of text and a template are seen as
 without punctuation. They match if 2 * shared >= dice * (unit + template). So a unit matches only templates whose size
 is within (2 - dice) / dice of its own, either way, and must share at least dice / (2 - dice) of a template's bigrams;
 hence at least one of any choice of so many bigrams that fewer than that many are left. Each template names its least
-common ones, and each of those its less common word: a text that has none of these words has no match, which is all
-that most texts are asked. Only the others are cut into units. The table of templates is small and broadcast.
+common ones: a text that has none of these bigrams has no match, which is all that most texts are asked. Only the others are cut into units. The table of templates is small and broadcast.
 """
 
 from __future__ import annotations
@@ -34,9 +33,36 @@ TEMPLATES: dict[str, str] = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "all-rights-reserved": "All rights reserved.",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
 }
 
-_COMMON = frozenset("a all an and any are as at be been but by can do for from had has have if in into is it its may more no not of on or other out so that the their they this to under up use used was were will with you your".split())
+_GNU = "{0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version. {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} for more details. You should have received a copy of the GNU {2} along with {5}"
+_POSTAL = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_ONLINE = ". If not, see <https://www.gnu.org/licenses/>."
+TEMPLATES |= {
+    "gpl-2.0": _GNU.format("This program", ";", "General Public License", ";", "2", "this program") + _POSTAL,
+    "lgpl-2.1": _GNU.format("This library", ";", "Lesser General Public License", ";", "2.1", "this library") + _POSTAL,
+    "lgpl-3.0": _GNU.format("This program", ":", "Lesser General Public License", ",", "3", "this program") + _ONLINE,
+    "agpl-3.0": _GNU.format("This program", ":", "Affero General Public License", ",", "3", "this program") + _ONLINE,
+}
+
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+TEMPLATES |= {
+    "bsd-2-clause": _BSD.format(""),
+    "bsd-3-clause": _BSD.format("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "),
+}
+
+#: The Creative Commons family, by its short names and by its sentence.
+for _code, _full in {"BY": "", "BY-SA": "-ShareAlike", "BY-ND": "-NoDerivatives", "BY-NC": "-NonCommercial", "BY-NC-SA": "-NonCommercial-ShareAlike", "BY-NC-ND": "-NonCommercial-NoDerivatives"}.items():
+    for _version, _scope in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES[f"cc-{_code.lower()}-{_version}-short"] = f"Licensed under CC {_code} {_version}."
+        TEMPLATES[f"cc-{_code.lower()}-{_version}-line"] = f"This work is licensed under a Creative Commons Attribution{_full} {_version} {_scope} License."
+
+_COMMON = frozenset("a all an and any are as at be been but by can do for from had has have if in into is it its may more no not of on or other out so that the their they this to under up use used was were will with you your 0 1 2 3 4 5 6 7 8 9".split())
 
 
 def words(text: str) -> list[str]:
@@ -49,20 +75,18 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def asked_words(templates: dict[str, str], dice: float) -> list[str]:
-    """Words of which a text with a match has one at least."""
+def asked_bigrams(templates: dict[str, str], dice: float) -> list[str]:
+    """Bigrams of which a text with a match has one at least."""
     out = set()
     for text in templates.values():
         own = bigrams(text)
         needed = math.ceil(dice / (2 - dice) * len(own) - 1e-9)
-        rarest = sorted(own, key=lambda g: (sum(w in _COMMON for w in g.split()), -max(map(len, g.split())), g))
-        for g in rarest[: len(own) - needed + 1]:
-            out.add(max(g.split(), key=lambda w: (w not in _COMMON, len(w), w)))
+        out.update(sorted(own, key=lambda g: (sum(w in _COMMON for w in g.split()), -max(map(len, g.split())), g))[: len(own) - needed + 1])
     return sorted(out)
 
 
-def any_of(words_: list[str]) -> str:
-    """A regular expression for any of the words as a word, in lower case; words with a common beginning share it."""
+def any_of(bigrams_: list[str]) -> str:
+    """A regular expression for any of the bigrams as words, in lower case; those with a common beginning share it."""
 
     def branch(rest: list[str]) -> str:
         heads: dict[str, list[str]] = {}
@@ -71,7 +95,8 @@ def any_of(words_: list[str]) -> str:
         parts = [h + branch(tails) if h else "" for h, tails in sorted(heads.items(), reverse=True)]
         return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
-    return f"(?:^|[^a-z0-9]){branch(words_)}(?![a-z0-9])"
+    between = r"[^\p{L}\p{N}]++"
+    return f"(?:^|[^a-z0-9]){branch(bigrams_).replace(' ', between)}(?![a-z0-9])"
 
 
 def _words(text):
@@ -93,7 +118,7 @@ def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, str] | None =
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     table = spark.createDataFrame([(k, bigrams(v)) for k, v in sorted(templates.items())], "license string, grams array<string>").withColumn("n", F.size("grams"))
-    maybe = F.lower(text_col).rlike(any_of(asked_words(templates, dice))) if templates else F.lit(False)
+    maybe = F.lower(text_col).rlike(any_of(asked_bigrams(templates, dice))) if templates else F.lit(False)
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.when(maybe, F.col(text_col)).alias("t")), "licence-texts")
     units = F.array_distinct(F.concat(F.split("t", "\n"), F.split("t", r"\n[\x20\t\r]*\n"), F.array("t")))
     cut = rows.where("t IS NOT NULL").select("t", F.explode(units).alias("u")).select("t", _bigrams(_words(F.col("u"))).alias("own")).where("size(own) > 0")

@@ -369,6 +369,19 @@ def test_licences_are_those_of_brute_force(spark, sf):
     assert sum(r.n_licenses > 0 for r in got.values()) > 20
 
 
+def test_licence_lines_of_the_documents(spark, sf):
+    """Every short line that names a licence or reserves rights, and what else must not be missed."""
+    docs = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/documents.parquet").select("text")
+    line = re.compile(r"licen[sc]ed?\b|rights reserved", re.I)
+    seen = {x for r in docs.collect() for x in (r.text or "").split("\n") if len(x) < 150 and line.search(x)}
+    named = {"Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0-short", "All rights reserved.": "all-rights-reserved", "Licensed under CC BY-NC-ND 4.0": "cc-by-nc-nd-4.0-short"}
+    named |= {licenses.TEMPLATES[x]: x for x in ("cc-by-nc-4.0-line", "cc-by-nc-sa-4.0-line", "gpl-2.0", "gpl-2.0-line", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "bsd-2-clause", "bsd-3-clause")}
+    rows = [(f"Some words first.\n{x}\nAnd some after.", named.get(x)) for x in sorted(seen | set(named))]
+    assert {"All rights reserved.", "Licensed under CC BY-NC 4.0."} <= seen
+    for r in licenses.scan(spark.createDataFrame(rows, "text string, doc_id string")).collect():
+        assert r.n_licenses > 0 and r.doc_id in (None, r.best_license)
+
+
 def test_licences_at_the_edges(spark):
     got = licenses.scan(edge(spark)).collect()
     assert len(got) == len(TEXTS) + 4

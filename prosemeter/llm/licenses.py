@@ -1,4 +1,4 @@
-"""Licence scans: lines, paragraphs and whole texts against templates by the Dice coefficient over word bigrams.
+"""Licence scans: runs of lines, paragraphs and whole texts against templates by the Dice coefficient over word bigrams.
 
 Method, in DataFrame operations only. A unit of text and a template are seen as sets of word bigrams, lower-cased and
 without punctuation. They match if 2 * shared >= dice * (unit + template). So a unit matches only templates whose size
@@ -108,10 +108,39 @@ def _bigrams(w):
     return F.when(F.size(w) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def _windows(texts: DataFrame, table: DataFrame, dice: float) -> DataFrame:
+    """(t, license, dice) of runs of two consecutive lines or more, blank ones aside.
+
+    Only for texts that hold enough of a template's bigrams at all. A run begins and ends with a line that has part in a
+    bigram of the template, else a shorter run is better; what it has of the text's bigrams that no earlier line had is
+    at most what it has, so by their sums over lines a run that is surely too large is not built.
+    """
+    held = F.size(F.array_intersect("whole", "grams"))
+    play = texts.select("t", _bigrams(_words(F.col("t"))).alias("whole")).join(F.broadcast(table), held >= F.col("n") * (dice / (2 - dice)) - 1e-9)
+    play = play.select("t", "license", "grams", "n", F.filter(F.transform(F.split("t", "\n"), _words), lambda w: F.size(w) > 0).alias("lines"))
+    play = materialise(play, "licence-lines").where("size(lines) > 1")  # else lambdas over the lines would cut them again
+    at = F.sequence(F.lit(1), F.size("lines"))
+    line = lambda i: F.element_at("lines", i)
+    has = lambda w: F.arrays_overlap(_bigrams(w), F.col("grams"))
+    last = F.size("lines")
+    play = play.withColumns({
+        "new": F.transform(at, lambda i: F.size(_bigrams(F.flatten(F.slice("lines", F.lit(1), i))))),
+        "first": F.filter(at, lambda i: (i < last) & has(F.concat(line(i), F.slice(line(F.least(i + 1, last)), 1, 1)))),
+        "end": F.filter(at, lambda i: (i > 1) & has(F.concat(F.slice(line(F.greatest(i - 1, F.lit(1))), -1, 1), line(i)))),
+    })
+    runs = play.select("t", "license", "grams", "n", "lines", "new", "end", F.explode("first").alias("i"))
+    before = F.when(F.col("i") > 1, F.get("new", F.col("i") - 2)).otherwise(0)
+    able = F.filter("end", lambda j: (j > F.col("i")) & (F.get("new", j - 1) - before - 1 <= F.col("n") * ((2 - dice) / dice) + 1e-9))
+    runs = runs.withColumn("j", F.explode(able))
+    own = _bigrams(F.flatten(F.slice("lines", F.col("i"), F.col("j") - F.col("i") + 1)))
+    runs = runs.select("t", "license", "grams", "n", own.alias("own"))
+    return runs.select("t", "license", (2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.col("n"))).alias("dice")).where(F.col("dice") >= dice)
+
+
 def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, n_licenses, licenses, best_license, best_dice) for each row of docs.
 
-    licenses: the names of all templates matched by a line, a paragraph or the whole text, sorted and comma-joined; best:
+    licenses: the names of all templates matched by a run of lines, a paragraph or the whole text, sorted and comma-joined; best:
     the one of the highest coefficient, the first by name among equals. A text without a match, a null or an empty one
     has 0, an empty string and nulls. Repeated rows get equal answers; other columns are not looked at.
     """
@@ -125,6 +154,7 @@ def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, str] | None =
     own = F.size("own")
     sized = (F.col("n") >= own * (dice / (2 - dice)) - 1e-9) & (F.col("n") <= own * ((2 - dice) / dice) + 1e-9)
     met = cut.join(F.broadcast(table), sized).withColumn("dice", 2.0 * F.size(F.array_intersect("own", "grams")) / (own + F.col("n"))).where(F.col("dice") >= dice)
+    met = met.select("t", "license", "dice").union(_windows(rows.where("t IS NOT NULL").select("t"), table, dice))
     # Texts, not ids, name what was matched, so repeated ids do not mix.
     met = met.select(F.xxhash64("t").alias("h1"), F.md5(F.col("t").cast("binary")).alias("h2"), "license", "dice")
     best = met.groupBy("h1", "h2", "license").agg(F.max("dice").alias("dice")).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("license")).alias("all"), F.min(F.struct(-F.col("dice"), "license")).alias("b"))

@@ -382,6 +382,20 @@ def test_licence_lines_of_the_documents(spark, sf):
         assert r.n_licenses > 0 and r.doc_id in (None, r.best_license)
 
 
+def test_licences_of_several_paragraphs_or_wrapped_lines(spark):
+    """In a longer text: one in three paragraphs, and one wrapped over lines with prose before and after it."""
+    prose = "\n\n".join(" ".join(f"prose{i}x{j}" for j in range(60)) for i in range(30))
+    rows = []
+    for name in ("mit", "apache-2.0", "gpl-3.0", "zlib"):
+        w = licenses.TEMPLATES[name].split()
+        a, b = len(w) // 3, 2 * len(w) // 3
+        rows.append((name, f"{prose}\n\n" + "\n\n".join(" ".join(x) for x in (w[:a], w[a:b], w[b:])) + f"\n\n{prose}"))
+        wrapped = "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+        rows.append((name, f"{prose}\n{wrapped}\n{prose}"))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == 8 and all(r.best_license == r.doc_id and r.best_dice == pytest.approx(1) for r in got)
+
+
 def test_licences_at_the_edges(spark):
     got = licenses.scan(edge(spark)).collect()
     assert len(got) == len(TEXTS) + 4

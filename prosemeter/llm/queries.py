@@ -33,9 +33,9 @@ def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """0: toxic, 1: of low quality, 2: neither; null where a label is."""
-    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 2)
-    return labels.select("doc_id", grade.alias("grade"))
+    """0 to 2: a point for quality and a point for not being toxic; null where a label is."""
+    told = F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)
+    return labels.select("doc_id", F.when(told, F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
 
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

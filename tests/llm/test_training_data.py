@@ -250,13 +250,41 @@ def test_ordinal_thresholds_are_ordered_and_grades_follow():
         rows.append((np.unique(np.concatenate([dealt.integers(0, 60, 8), [100 + g]])), None))
         rows[-1] = (rows[-1][0], np.ones(len(rows[-1][0])))
         grades.append(g)
-    model = ordinal.train(rows[:600], np.array(grades[:600]), 4, 256, 10, 0.5, 1e-6, 1)
+    model = ordinal.train(rows[:600], np.array(grades[:600]), 4, 256, 10, 1.0, 0.5, 0.1, 1)
     assert (np.diff(model.thresholds) > 0).all()
     tails = model.tails(np.array([model.weights[p] @ v for p, v in rows[600:]]))
     assert (np.diff(tails, axis=1) <= 0).all()
     assert np.corrcoef(tails.sum(axis=1), grades[600:])[0, 1] > 0.95
 
 
+def test_ordinal_likelihood_and_slopes():
+    """Against the definition, and against differences of the likelihood."""
+    dealt = np.random.Generator(np.random.PCG64(4))
+    score, grades, free = dealt.normal(0, 2, 50), dealt.integers(0, 4, 50), np.array([-1.0, 0.2, -0.4])
+    cut = [free[0], free[0] + np.exp(free[1]), free[0] + np.exp(free[1]) + np.exp(free[2])]
+    at_least = lambda s, k: 1.0 if k == 0 else 0.0 if k == 4 else 1 / (1 + np.exp(cut[k - 1] - s))
+    want = [np.log(at_least(s, g) - at_least(s, g + 1)) for s, g in zip(score, grades)]
+    like, by_score, by_free = ordinal.slopes(score, grades, free)
+    assert like == pytest.approx(want)
+    step = 1e-6
+    up, down = (ordinal.slopes(score + d, grades, free)[0] for d in (step, -step))
+    assert by_score == pytest.approx((up - down) / (2 * step), abs=1e-5)
+    for i in range(3):
+        up, down = (ordinal.slopes(score, grades, free + d * np.eye(3)[i])[0].mean() for d in (step, -step))
+        assert by_free[i] == pytest.approx((up - down) / (2 * step), abs=1e-5)
+
+
+def test_ordinal_features_of_long_words_and_repeats():
+    assert ordinal.shape(b"Abc" + b"1" * 50 + b"zZZZ") == b"Aaa00aAA" and ordinal.shape(b"a" * 99 + b"-9") == b"aa-0"
+    places = ordinal.Places(1 << 16)
+    at, values = ordinal.features(b"Wordless wordless wordless wordless wordless x", places)
+    own, begun, _ = ordinal.hashed(b"wordless", 1 << 16)
+    by = dict(zip(at.tolist(), values.tolist(), strict=True))
+    damped = 1 / (1 + 2 / 50) ** 0.5
+    assert by[own] == pytest.approx(damped) and all(by[x] == pytest.approx(damped * ordinal.TIMES) for x in begun) and by[1 << 16] == pytest.approx(3 / 6)
+    assert len(ordinal.features(None, places)[0]) == len(ordinal.features(b" ", places)[0]) == 0
+
+
 def test_ordinal_on_labelled_rows(spark):
     sf = "/root/testdata/sf0.1"
     if not os.path.isdir(sf):
@@ -270,6 +298,8 @@ def test_ordinal_on_labelled_rows(spark):
     assert got[got.grade == 1].kept.mean() < 0.1
     assert got[got.grade == 0].kept.mean() < 0.5  # some 170 toxic rows with words of four languages; 2 % with ten times as many
     assert got.groupby("grade").expected_grade.mean().is_monotonic_increasing
+    marks = got.merge(labels.toPandas(), on="doc_id")
+    assert marks[marks.quality == 0].kept.mean() < 0.1 and marks[marks.toxic == 1].kept.mean() < 0.1
 
 
 def test_ordinal_at_the_edges(spark):

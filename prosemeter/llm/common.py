@@ -30,9 +30,14 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named.
+
+    Only a local session gets one of our own: on a cluster a machine-local folder would hold a part of each table.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='prosemeter-')}"
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -47,7 +52,32 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/prosemeter-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot if it holds over one in so many rows; so there are fewer hot keys than this, whatever the data.
+HOT = 1000
+
+
+def join_each(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """left inner-joined with right, which has each key once and in `weight` the number of left's rows of the key.
+
+    Rows of hot keys stay where they are: the rows of right for them, fewer than HOT, are broadcast. Only the others
+    are shuffled by key, so no key brings more than one in HOT of all rows to a task. total: left's rows.
+    """
+    is_hot = F.col(weight) * HOT > total
+    hot = F.broadcast(right.where(is_hot).drop(weight))
+    rest = left.join(F.broadcast(right.where(is_hot).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(right.where(~is_hot).drop(weight), keys))
 
 
 def possibly_in(df: DataFrame, ids: DataFrame, column: str, bits: int = 1 << 25) -> DataFrame:

@@ -111,6 +111,24 @@ def test_near_duplicates_at_the_edges(spark):
     assert neardup.near_duplicates(edge(spark, []), 85).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """They are one document: what either text is linked with is in the component, and reruns agree."""
+    random.seed(3)
+    a, b, c = (" ".join(f"{x}{random.randrange(10**6)}" for _ in range(80)) for x in "abc")
+    rows = [(5, a), (5, b), (8, b + " zz"), (9, a + " zz"), (2, c), (7, c + " zz"), (11, "of its own")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in neardup.near_duplicates(docs, 85).collect()}
+        assert {i: x for (i, _), x in got.items()} == {5: (5, True), 8: (5, False), 9: (5, False), 2: (2, True), 7: (2, False), 11: (11, True)}
+
+
+def test_prefix_search_alone_is_exact(spark, sf):
+    """Regions of one member at most are small: all else is found by frames of one row and the search on rarest shingles."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 85, region=1, frame=1).collect()}
+    assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()], 85)
+
+
 def test_components(spark):
     random.seed(5)
     links = [(min(a, b), max(a, b)) for a, b in ((random.randrange(300), random.randrange(300)) for _ in range(220)) if a != b] + [(i, i + 1) for i in range(1000, 1060)]

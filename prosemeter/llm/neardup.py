@@ -14,6 +14,9 @@ other components by their rarest shingles, of which similar sets share one (pref
 2p / (1 + p) shortest prefix does, of the larger one that of p). So similar classes are missed only if they share the
 first hash of no tree.
 
+Candidates of small regions are all confirmed unless one component holds both by then; of a frame's, the best few for
+each class, as all of them serve only to leave little to the search.
+
 Nothing is collected but a fixed number of shingle counters: classes, regions, links and components are tables; regions
 are counted by key with partial aggregation, hot keys are joined by broadcast of their bounded number, and sorted orders
 are dealt by range, whatever a region holds.
@@ -243,6 +246,17 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int, pool: int) ->
     return near.where(same >= least_agreeing(percent / 100, pool)).select("lo", "hi")
 
 
+def _best(pairs: DataFrame, n: int, before: bool = False) -> DataFrame:
+    """Of pairs (lo, hi, same), those that agree best with either of their classes, n for each; before: only with hi."""
+    ends = [("hi", "lo")] if before else [("hi", "lo"), ("lo", "hi")]
+    each = pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ends])).alias("e"), "same")
+    by = F.struct("same", F.xxhash64("e.x", "e.y").alias("h"), F.col("e.y").alias("y"))
+    # What a class has is bounded: in each tree by its region or its frame.
+    top = each.groupBy(F.col("e.x").alias("x")).agg(F.slice(F.sort_array(F.collect_list(by), asc=False), 1, n).alias("t"))
+    top = top.select("x", F.explode("t.y").alias("y"))
+    return top.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
+
+
 def _of_classes(docs: DataFrame, classes: DataFrame, some: DataFrame, run, returns: str) -> DataFrame:
     """`some` (cls and more) with what `run` makes of the text of each class; texts themselves are not shuffled.
 
@@ -332,31 +346,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, pool: in
     small = forest.where(F.col("c") <= region).select("tree", "key", "cls", "n", "packed").repartition("key").sortWithinPartitions("tree", "key", "cls")
     pairs = small.mapInArrow(_neighbours(region, None, percent, trees, pool), "lo long, hi long, same int")
     large = forest.where(F.col("c") > region).repartitionByRange("tree", "order", "cls").sortWithinPartitions("tree", "order", "cls").select("tree", "key", "cls", "n", "packed")
-    framed = large.mapInArrow(_neighbours(frame, 2, percent, trees, pool), "lo long, hi long, same int")
-    pairs = materialise(pairs.withColumn("all", F.lit(True)).union(framed.withColumn("all", F.lit(False))), "pairs")
-
-    ends = pairs.groupBy("lo", "hi").agg(F.max("same").alias("same")).select(F.explode(F.array(F.struct(F.col("hi").alias("x"), F.col("lo").alias("y")), F.struct(F.col("lo").alias("x"), F.col("hi").alias("y")))).alias("e"), "same")
-    best = F.max_by(F.col("e.y"), F.struct("same", F.xxhash64("e.x", "e.y")))
-    nearest = ends.groupBy(F.col("e.x").alias("x")).agg(best.alias("y"))
-    before = ends.where("e.y < e.x").groupBy(F.col("e.x").alias("x")).agg(best.alias("y"))
-    nearest = nearest.union(before).select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
-    nearest = materialise(nearest, "nearest")
-    links = _confirmed(nearest, docs, classes, percent, width)
+    framed = large.mapInArrow(_neighbours(frame, 8, percent, trees, pool), "lo long, hi long, same int")
+    pairs = pairs.withColumn("whole", F.lit(True)).union(framed.withColumn("whole", F.lit(False)))
+    pairs = materialise(pairs.groupBy("lo", "hi").agg(F.max("same").alias("same"), F.max("whole").alias("whole")), "pairs")
+
     doubled = usable.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("a"), F.max(F.xxhash64("digest")).alias("b")).where("a <> b").select("doc_id")
     doubled = usable.select("doc_id", "digest").join(doubled, "doc_id").distinct().join(classes.select("digest", "cls"), "digest")
-    doubled = materialise(doubled.join(doubled.groupBy("doc_id").agg(F.min("cls").alias("lo")), "doc_id").select("lo", F.col("cls").alias("hi")).where("lo < hi"), "doubled")
-    joined = components(links.union(doubled))
-
-    # What is not in one component by now: the other pairs of small regions, and the search over large ones.
-    top = lambda c: joined.select(F.col("hi").alias(c), F.col("lo").alias(f"{c}_top"))
-    apart = pairs.where("all").select("lo", "hi").join(top("lo"), "lo", "left").join(top("hi"), "hi", "left").where(F.coalesce("lo_top", "lo") != F.coalesce("hi_top", "hi")).select("lo", "hi")
-    rest = _agreeing(_rest(forest.where(F.col("c") > region).select("key", "cls"), joined, docs, classes, counts, percent, width), classes, percent, pool)
-    rest = materialise(apart.union(rest).distinct().join(nearest, ["lo", "hi"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, docs, classes, percent, width)
-        joined, old = components(links.union(doubled).union(more)), joined
-        discard(old, more)
-    discard(forest, pairs, nearest, links, doubled, rest)
+    links = materialise(doubled.join(doubled.groupBy("doc_id").agg(F.min("cls").alias("lo")), "doc_id").select("lo", F.col("cls").alias("hi")).where("lo < hi"), "doubled")
+    joined, done = links, None
+
+    def top(c: str) -> DataFrame:
+        return joined.select(F.col("hi").alias(c), F.col("lo").alias(f"{c}_top"))
+
+    # First what agrees best with each class, then what is not in one component by now, then the search over large regions.
+    for turn in ("nearest", "others", "rest"):
+        if turn == "nearest":
+            asked = _best(pairs, 1).union(_best(pairs, 1, before=True)).distinct()
+        elif turn == "others":
+            apart = pairs.join(top("lo"), "lo", "left").join(top("hi"), "hi", "left").where(F.coalesce("lo_top", "lo") != F.coalesce("hi_top", "hi"))
+            apart = apart.select(*pairs.columns).join(done, ["lo", "hi"], "left_anti")
+            asked = apart.where("whole").select("lo", "hi").union(_best(apart.where("NOT whole"), 3)).distinct()
+        else:
+            crowded = forest.where(F.col("c") > region).select("key", "cls")
+            asked = _agreeing(_rest(crowded, joined, docs, classes, counts, percent, width), classes, percent, pool).join(done, ["lo", "hi"], "left_anti")
+        asked = materialise(asked, "asked")
+        more = _confirmed(asked, docs, classes, percent, width)
+        links, done = materialise(links.union(more), "links"), asked if done is None else materialise(done.union(asked), "asked")
+        joined = components(links)
+    discard(forest, pairs, links, done)
 
     # Components are named by their smallest id; then each row by its class.
     members = classes.select("cls", "doc_id", "digest", "copies").join(joined.select(F.col("hi").alias("cls"), "lo"), "cls", "left").withColumn("top", F.coalesce("lo", "cls"))

@@ -4,7 +4,8 @@ Method, in DataFrame operations only. A unit of text and a template are seen as
 without punctuation. They match if 2 * shared >= dice * (unit + template). So a unit matches only templates whose size
 is within (2 - dice) / dice of its own, either way, and must share at least dice / (2 - dice) of a template's bigrams;
 hence at least one of any choice of so many bigrams that fewer than that many are left. Each template names its least
-common ones: a text that has none of these bigrams has no match, which is all that most texts are asked. Only the others are cut into units. The table of templates is small and broadcast.
+common ones: a text that has none of these bigrams has no match, which is all that most texts are asked. Only the
+others are cut into units; a text that is let go meets no join. The table of templates is small and broadcast.
 """
 
 from __future__ import annotations
@@ -109,15 +110,15 @@ def _bigrams(w):
 
 
 def _windows(texts: DataFrame, table: DataFrame, dice: float) -> DataFrame:
-    """(t, license, dice) of runs of two consecutive lines or more, blank ones aside.
+    """(uid, license, dice) of runs of two consecutive lines or more, blank ones aside.
 
     Only for texts that hold enough of a template's bigrams at all. A run begins and ends with a line that has part in a
     bigram of the template, else a shorter run is better; what it has of the text's bigrams that no earlier line had is
     at most what it has, so by their sums over lines a run that is surely too large is not built.
     """
     held = F.size(F.array_intersect("whole", "grams"))
-    play = texts.select("t", _bigrams(_words(F.col("t"))).alias("whole")).join(F.broadcast(table), held >= F.col("n") * (dice / (2 - dice)) - 1e-9)
-    play = play.select("t", "license", "grams", "n", F.filter(F.transform(F.split("t", "\n"), _words), lambda w: F.size(w) > 0).alias("lines"))
+    play = texts.select("uid", "t", _bigrams(_words(F.col("t"))).alias("whole")).join(F.broadcast(table), held >= F.col("n") * (dice / (2 - dice)) - 1e-9)
+    play = play.select("uid", "license", "grams", "n", F.filter(F.transform(F.split("t", "\n"), _words), lambda w: F.size(w) > 0).alias("lines"))
     play = materialise(play, "licence-lines").where("size(lines) > 1")  # else lambdas over the lines would cut them again
     at = F.sequence(F.lit(1), F.size("lines"))
     line = lambda i: F.element_at("lines", i)
@@ -128,13 +129,13 @@ def _windows(texts: DataFrame, table: DataFrame, dice: float) -> DataFrame:
         "first": F.filter(at, lambda i: (i < last) & has(F.concat(line(i), F.slice(line(F.least(i + 1, last)), 1, 1)))),
         "end": F.filter(at, lambda i: (i > 1) & has(F.concat(F.slice(line(F.greatest(i - 1, F.lit(1))), -1, 1), line(i)))),
     })
-    runs = play.select("t", "license", "grams", "n", "lines", "new", "end", F.explode("first").alias("i"))
+    runs = play.select("uid", "license", "grams", "n", "lines", "new", "end", F.explode("first").alias("i"))
     before = F.when(F.col("i") > 1, F.get("new", F.col("i") - 2)).otherwise(0)
     able = F.filter("end", lambda j: (j > F.col("i")) & (F.get("new", j - 1) - before - 1 <= F.col("n") * ((2 - dice) / dice) + 1e-9))
     runs = runs.withColumn("j", F.explode(able))
     own = _bigrams(F.flatten(F.slice("lines", F.col("i"), F.col("j") - F.col("i") + 1)))
-    runs = runs.select("t", "license", "grams", "n", own.alias("own"))
-    return runs.select("t", "license", (2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.col("n"))).alias("dice")).where(F.col("dice") >= dice)
+    runs = runs.select("uid", "license", "grams", "n", own.alias("own"))
+    return runs.select("uid", "license", (2.0 * F.size(F.array_intersect("own", "grams")) / (F.size("own") + F.col("n"))).alias("dice")).where(F.col("dice") >= dice)
 
 
 def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,22 +143,23 @@ def scan(docs: DataFrame, dice: float = 0.8, templates: dict[str, str] | None =
 
     licenses: the names of all templates matched by a run of lines, a paragraph or the whole text, sorted and comma-joined; best:
     the one of the highest coefficient, the first by name among equals. A text without a match, a null or an empty one
-    has 0, an empty string and nulls. Repeated rows get equal answers; other columns are not looked at.
+    has 0, an empty string and nulls. Repeated rows and rows of null id get the answer of their text, however long it is;
+    an empty table gives an empty result; other columns, of whatever name, are not looked at.
     """
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     table = spark.createDataFrame([(k, bigrams(v)) for k, v in sorted(templates.items())], "license string, grams array<string>").withColumn("n", F.size("grams"))
     maybe = F.lower(text_col).rlike(any_of(asked_bigrams(templates, dice))) if templates else F.lit(False)
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.when(maybe, F.col(text_col)).alias("t")), "licence-texts")
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.when(maybe, F.col(text_col)).alias("t")), "licence-texts")
+    asked = rows.where("t IS NOT NULL")
     units = F.array_distinct(F.concat(F.split("t", "\n"), F.split("t", r"\n[\x20\t\r]*\n"), F.array("t")))
-    cut = rows.where("t IS NOT NULL").select("t", F.explode(units).alias("u")).select("t", _bigrams(_words(F.col("u"))).alias("own")).where("size(own) > 0")
+    cut = asked.select("uid", F.explode(units).alias("u")).select("uid", _bigrams(_words(F.col("u"))).alias("own")).where("size(own) > 0")
     own = F.size("own")
     sized = (F.col("n") >= own * (dice / (2 - dice)) - 1e-9) & (F.col("n") <= own * ((2 - dice) / dice) + 1e-9)
     met = cut.join(F.broadcast(table), sized).withColumn("dice", 2.0 * F.size(F.array_intersect("own", "grams")) / (own + F.col("n"))).where(F.col("dice") >= dice)
-    met = met.select("t", "license", "dice").union(_windows(rows.where("t IS NOT NULL").select("t"), table, dice))
-    # Texts, not ids, name what was matched, so repeated ids do not mix.
-    met = met.select(F.xxhash64("t").alias("h1"), F.md5(F.col("t").cast("binary")).alias("h2"), "license", "dice")
-    best = met.groupBy("h1", "h2", "license").agg(F.max("dice").alias("dice")).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("license")).alias("all"), F.min(F.struct(-F.col("dice"), "license")).alias("b"))
-    keyed = rows.select("doc_id", F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("h1"), F.md5(F.col("t").cast("binary")).alias("h2"))
-    out = keyed.join(best, ["h1", "h2"], "left")
-    return out.select("doc_id", F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.array_join("all", ","), F.lit("")).alias("licenses"), F.col("b.license").alias("best_license"), (-F.col("b.col1")).alias("best_dice"))
+    met = met.select("uid", "license", "dice").union(_windows(asked.select("uid", "t"), table, dice))
+    # Rows, not ids or texts, are what matches are gathered for: repeated ids do not mix, and a text in bulk is no key.
+    best = met.groupBy("uid", "license").agg(F.max("dice").alias("dice")).groupBy("uid").agg(F.sort_array(F.collect_list("license")).alias("all"), F.min(F.struct(-F.col("dice"), "license")).alias("b"))
+    told = asked.select("doc_id", "uid").join(best, "uid", "left").select("doc_id", F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_licenses"), F.coalesce(F.array_join("all", ","), F.lit("")).alias("licenses"), F.col("b.license").alias("best_license"), (-F.col("b.col1")).alias("best_dice"))
+    others = rows.where("t IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_licenses"), F.lit("").alias("licenses"), F.lit(None).cast("string").alias("best_license"), F.lit(None).cast("double").alias("best_dice"))
+    return told.unionByName(others)

@@ -7,7 +7,8 @@ copies are certain. What is left of an expectation is an inclusion probability p
 odds u / (1 - u) over their inclusion odds p / (1 - p), and the first in that order are taken as long as their words
 come nearer to what is left of the target. So the sample is of fixed size in words and of unequal probabilities.
 
-u is a hash of the document's id and the seed: reruns agree. The cut in a source's order is found through bins of the
+u is a hash of the seed, the document's id and its text: rows of null or repeated ids have numbers of their own, and
+reruns agree whatever the order and partitions of the rows. The cut in a source's order is found through bins of the
 rank that are summed before they are ordered; only rows of the bin that holds the cut are then put into finer bins,
 and rows of one finest bin are ordered. So no source is ever sorted in one task.
 """
@@ -48,9 +49,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, most: int)
     return found.select("source", "source_size", "weight", share.alias("target"))
 
 
-def uniform(id_col: Column, seed: int) -> Column:
-    """A number between 0 and 1, never either, from 52 bits of the MD5 of the seed and the id."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+def uniform(id_col: Column, text: Column, seed: int) -> Column:
+    """A number between 0 and 1, never either, from 52 bits of the MD5 of the seed, the id and the text's MD5."""
+    own = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("")), own).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
@@ -59,15 +61,19 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
-def mixed(docs: DataFrame, size: Column, prior: Callable[[Column], Column] | None = None, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 7, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """One row (doc_id, size, source_size, target, copies, taken) for each row of docs.
+def mixed(docs: DataFrame, size: Column, prior: Callable[[Column], Column] | None = None, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row (doc_id, size, source_size, target, copies, taken) for each row of docs, and the columns of carry.
 
     size: words of a row. prior: a column of relative expected copies, of a few distinct values, from the size; None:
-    equal ones. taken is copies * size, at most `most` times the size. Rows of size 0 get no copies. A null
-    source is a source; a null id is an id like any other; repeated rows are ranked alike and taken or left on their
-    own size each, in an order that is arbitrary between equal rows. An empty table gives an empty result.
+    equal ones. taken is copies * size, at most `most` times the size. Rows of size 0, null and empty texts among them,
+    get no copies. A null source is a source; a null id is an id like any other. Rows of equal id and text are ranked
+    alike: as many of them are taken as the cut says, and which ones is all the same. Texts are hashed whole. An empty
+    table gives an empty result. Other columns of docs, of whatever name, are not looked at. The targets are computed
+    over one row for each source, in one task.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    carry = carry or {}
+    named = {k: f"carried{i}" for i, k in enumerate(carry)}
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), uniform(F.col(id_col), F.col(text_col), seed).alias("u"), *[c.alias(named[k]) for k, c in carry.items()])
     rows = rows.withColumn("prior", (prior(F.col("size")) if prior else F.lit(1.0)).cast("double"))
     rows = materialise(rows.withColumn("key", _key(F.col("source"))), "mix-sizes")
     classes = rows.groupBy("source", "key", "prior").agg(F.sum("size").alias("words"))
@@ -88,10 +94,10 @@ def mixed(docs: DataFrame, size: Column, prior: Callable[[Column], Column] | Non
     certain = F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("key"))
     classes = classes.select("key", "prior", "source_size", "target", "whole", "p", (F.col("target") - certain).alias("left"))
 
-    u = uniform(F.col("doc_id"), seed)
+    u = F.col("u")
     odds = F.when((F.col("p") > 1e-9) & (F.col("size") > 0), (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     ranked = rows.join(classes, ["key", "prior"]).withColumn("rank", odds / (1 + odds))  # the same order, from 0 to 1
-    keep = ["doc_id", "size", "source_size", "target", "whole", "key", "left", "rank"]
+    keep = ["doc_id", "size", "source_size", "target", "whole", "key", "left", "rank", *named.values()]
     ranked = materialise(ranked.select(*keep), "mix-ranks")
 
     # At each level: the words before each bin, and the bin that holds the cut. The last level's cut bin is ordered.
@@ -108,10 +114,10 @@ def mixed(docs: DataFrame, size: Column, prior: Callable[[Column], Column] | Non
     # Without a cut, all of a source's words are fewer than needed: all are in.
     placed = ranked.join(cut.withColumnRenamed("need", "room"), "key", "left")
     last = placed.where("rank >= low AND rank < low + width")
-    upto = F.sum("size").over(Window.partitionBy("key").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("size").over(Window.partitionBy("key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     last = last.withColumn("upto", upto).withColumn("in", F.col("upto") - F.col("size") / 2 <= F.col("room"))
     others = placed.where("rank IS NULL OR low IS NULL OR rank < low OR rank >= low + width").withColumn("upto", F.lit(0).cast("long"))
     others = others.withColumn("in", F.coalesce(F.col("rank").isNotNull() & (F.col("low").isNull() | (F.col("rank") < F.col("low"))), F.lit(False)))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("in").cast("long")).otherwise(F.lit(0)).cast("long")
     out = last.unionByName(others).withColumn("copies", copies)
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(v).alias(k) for k, v in named.items()])

@@ -8,7 +8,7 @@ from . import licenses
 def mixing(short: int, seed: int = 7) -> str:
     """op7: the whole order of each source at once, where the operator looks for the cut bin by bin."""
     return rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS own, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 p AS (SELECT *, CASE WHEN size < {short} THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS prior FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM p GROUP BY source),
 r AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),
@@ -24,7 +24,7 @@ g AS (SELECT source, arg_max(factor, prior) AS factor FROM e WHERE factor * prio
 x AS (SELECT e.source, e.prior, source_size, target, words, least(2.0::DOUBLE, coalesce(g.factor * prior, 2.0::DOUBLE)) AS expected FROM e LEFT JOIN g ON e.source IS NOT DISTINCT FROM g.source),
 y AS (SELECT *, floor(expected + 1e-9::DOUBLE)::BIGINT AS whole FROM x),
 z AS (SELECT source, prior, source_size, target, whole, greatest(0, expected - whole) AS pr, target - sum(whole * words) OVER (PARTITION BY source) AS need FROM y),
-q AS (SELECT doc_id, size, z.source, source_size, target, whole, need, pr, (('0x' || md5('{seed}:' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM p JOIN z ON p.source IS NOT DISTINCT FROM z.source AND p.prior = z.prior),
+q AS (SELECT doc_id, size, z.source, source_size, target, whole, need, pr, (('0x' || md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || own)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM p JOIN z ON p.source IS NOT DISTINCT FROM z.source AND p.prior = z.prior),
 k AS (SELECT *, CASE WHEN pr > 1e-9 AND size > 0 THEN (u / (1 - u)) / (pr / (1 - pr)) END AS odds FROM q),
 n AS (SELECT *, sum(CASE WHEN odds IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM (SELECT *, CASE WHEN size > 0 THEN whole + coalesce(odds IS NOT NULL AND upto - size / 2.0::DOUBLE <= need, false)::BIGINT ELSE 0 END AS copies FROM n)"""
@@ -42,3 +42,17 @@ g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[
 m AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g, t),
 b AS (SELECT doc_id, license, max(dice) AS dice FROM m WHERE dice >= {dice} GROUP BY doc_id, license)
 SELECT documents.doc_id, count(license) AS n_licenses, coalesce(string_agg(license, ',' ORDER BY license), '') AS licenses, list(license ORDER BY dice DESC, license)[1] AS best_license, max(dice) AS best_dice FROM documents LEFT JOIN b USING (doc_id) GROUP BY documents.doc_id"""
+
+
+def near_duplicates(percent: int = 85) -> str:
+    """op10: all pairs of texts that share a shingle, and what links reach, where the operator searches a forest."""
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '') ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM t),
+e AS MATERIALIZED (SELECT doc_id, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS lo, b.doc_id AS hi, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT lo, hi FROM p JOIN s u ON u.doc_id = lo JOIN s v ON v.doc_id = hi WHERE 100 * i >= {percent} * (len(u.g) + len(v.g) - i)),
+n AS MATERIALIZED (SELECT lo AS a, hi AS b FROM l UNION ALL SELECT hi, lo FROM l),
+r(a, b) AS (SELECT a, b FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a),
+c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a)
+SELECT s.doc_id, coalesce(len(g), 0)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(c.least, s.doc_id)) AS kept FROM s LEFT JOIN c ON c.doc_id = s.doc_id"""

@@ -100,4 +100,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op6_license_scan": oracles.license_scan(), "op7_mixing": oracles.mixing(SHORT)}
+ORACLES: dict[str, str] = {"op6_license_scan": oracles.license_scan(), "op7_mixing": oracles.mixing(SHORT), "op10_near_dedup": oracles.near_duplicates(85)}

@@ -369,6 +369,82 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[i].spans == got[i].base != "" for i in range(40))
 
 
+def slow_discovered(found, rounds=12, confidence=0.5, sure=0.7, support=3, doubt=1, unknown=0.1):
+    """Kinds of the instances by plain loops over (pattern, instance, kind, suits)."""
+    kinds, shapes, held = {}, {}, defaultdict(set)
+    for p, i, k, s in found:
+        held[p].add(i)
+        shapes[p, i] = shapes.get((p, i), 0) | s
+        if k >= 0:
+            kinds[i] = max(k, kinds.get(i, -1))
+    for _ in range(rounds):
+        best = defaultdict(list)
+        for p, members in held.items():
+            for k in range(4):
+                c = sum(kinds.get(i) == k for i in members)
+                u = sum(i not in kinds and shapes[p, i] >> k & 1 for i in members)
+                score = int(c * 1000000 / (sum(i in kinds for i in members) + doubt + unknown * u))
+                if c >= support and score >= confidence * 1000000:
+                    for i in members:
+                        if i not in kinds and shapes[p, i] >> k & 1:
+                            best[i, k].append(score)
+        new = {}
+        for (i, k), scores in sorted(best.items()):
+            if (len(scores) > 1 or scores[0] >= sure * 1000000) and (i not in new or max(scores) > new[i][0]):
+                new[i] = (max(scores), k)
+        if not new:
+            break
+        kinds |= {i: k for i, (_, k) in new.items()}
+    return kinds
+
+
+def test_rounds_of_the_bootstrap_are_those_of_plain_loops(spark):
+    random.seed(21)
+    for seed in range(3):
+        found = []
+        for _ in range(900):
+            i = random.randrange(250)
+            kind = i % 4 if i % 5 == 0 else -1
+            found.append((f"p{(i % 4) * 10 + random.randrange(12)}", i, kind, 1 << (i % 4) if random.random() < 0.9 else 0b1100))
+        df = spark.createDataFrame([(p, i, k, s) for p, i, k, s in found], "pattern string, instance long, kind int, suits int")
+        edges = df.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.bit_or("suits").alias("suits"))
+        got = {r.instance: r.kind for r in pii.bootstrapped(pii.materialise(edges, "test"))[0].collect()}
+        assert got == slow_discovered(found) and len(got) > len({i for _, i, k, _ in found if k >= 0})
+
+
+def test_bootstrap_reaches_what_no_base_pattern_finds(spark):
+    """Identifiers that no base pattern matches: some stand in contexts of seeds, others only beside discovered ones."""
+    random.seed(22)
+    rows, planted, number = [], {}, iter(random.sample(range(10**6, 10**7), 3000))
+    filler = [f"word{i}" for i in range(400)]
+    prose = lambda n: " ".join(random.choices(filler, k=n))
+
+    def add(text, hidden=None):
+        rows.append((len(rows), text))
+        if hidden:
+            at = text.index(hidden)
+            planted[len(rows) - 1] = f"phone:{at}:{at + len(hidden)}"
+
+    national = [f"0{n // 1000}-{n % 1000:03d}0" for n in (next(number) for _ in range(400))]
+    for _ in range(120):
+        add(f"{prose(9)} please call me at +1 555 {next(number)} after lunch {prose(5)}")
+    for n in national[:300]:  # more of them than of seeds
+        add(f"{prose(9)} please call me at {n} after lunch {prose(5)}", n)
+    for n in national[:60]:  # the same ones in a context that no seed has
+        add(f"{prose(9)} ring the office under {n} before noon {prose(5)}", n)
+    for n in national[300:]:
+        add(f"{prose(9)} ring the office under {n} before noon {prose(5)}", n)
+    for _ in range(300):
+        add(f"{prose(9)} item number {next(number)} in stock {prose(5)}")
+        add(f"{prose(20)}")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find(docs, ["doc_id"]).collect()
+    found = {r.row.doc_id: set(r.spans.split(",")) - set(r.base.split(",")) - {""} for r in got}
+    right = sum(x == planted.get(i) for i, held in found.items() for x in held)
+    assert right >= 0.95 * len(planted) and right >= 0.95 * sum(map(len, found.values()))
+    assert all(r.base == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in slow_spans(rows[r.row.doc_id][1])) for r in got)
+
+
 def test_personal_data_at_the_edges(spark):
     docs = edge(spark)
     got = pii.find(docs, docs.columns).collect()
@@ -499,6 +575,19 @@ def test_mixing_follows_the_odds(spark):
     assert got["copies"].isin((0, 1)).all() and abs(got["taken"].sum() - 24000) <= 20
 
 
+def test_mixing_reruns_agree_for_null_and_repeated_ids(spark):
+    random.seed(5)
+    rows = [(None if i % 3 else i // 9, "w " * random.randint(1, 40) + f"x{i % 500}", random.choice("ab")) for i in range(1200)]
+    got = []
+    for parts in (1, 4, 7):
+        random.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        out = mixing.mixed(docs, n_words(F.col("text")), carry={"t": F.col("text")}).collect()
+        got.append(Counter((r.doc_id, r.t, r.taken) for r in out))
+        assert len(out) == 1200
+    assert got[0] == got[1] == got[2]
+
+
 def test_mixing_at_the_edges(spark):
     got = mixing.mixed(edge(spark), n_words(F.col("text"))).collect()
     assert len(got) == len(TEXTS) + 4 and all(r.taken <= 2 * r.size for r in got)
@@ -574,6 +663,27 @@ def test_language_id_rejects_what_it_does_not_know(spark, sf):
     assert alone == [r.l for r in together[:4]]
 
 
+UNLEARNED = {
+    "nl": "de regering heeft vandaag besloten dat de nieuwe wet pas volgend jaar ingaat omdat er nog te veel vragen zijn over hoe gemeenten het werk moeten doen en wie daarvoor betaalt",
+    "pl": "rząd postanowił dzisiaj że nowa ustawa wejdzie w życie dopiero w przyszłym roku ponieważ nadal jest zbyt wiele pytań o to jak gminy mają wykonać tę pracę i kto za to zapłaci",
+    "fi": "hallitus päätti tänään että uusi laki tulee voimaan vasta ensi vuonna koska kunnilla on edelleen liian monta kysymystä siitä miten työ pitää tehdä ja kuka sen maksaa",
+    "tr": "hükümet bugün yeni yasanın ancak gelecek yıl yürürlüğe gireceğine karar verdi çünkü belediyelerin bu işi nasıl yapacağı ve parasını kimin ödeyeceği konusunda çok fazla soru var",
+}
+
+
+def test_language_id_rejects_short_texts_of_other_languages_and_few_others(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.where(~queries.held_out()))
+    assert (np.diff(model.limits) <= 0).all() and np.isfinite(model.limits).all()
+    strange = [" ".join((t.split() * 3)[i : i + n]) for t in UNLEARNED.values() for n in (10, 25, 50) for i in (0, 4, 9)]
+    told = lambda df: df.select(langid.predict(F.col("text"), model, spark).alias("l")).collect()
+    assert all(r.l.rejected for r in told(spark.createDataFrame([(t,) for t in strange], "text string")))
+    assert np.mean([r.l.rejected for r in told(docs.where(queries.held_out() & F.col("text").rlike(r"\pL.*\pL")))]) < 0.01
+
+
 def test_language_id_at_the_edges(spark):
     docs = edge(spark)
     for table in (docs, docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string"))):

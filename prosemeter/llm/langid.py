@@ -5,8 +5,10 @@ the probability of a character after the `order` - 1 before it. All languages' m
 each order the hashes of the n-grams seen in any language, sorted, and beside them the interpolated log probability
 in every language; likewise the hashes of contexts with their interpolation weights. An n-gram is looked up from the
 highest order downwards by binary search; the language of the lowest mean cross-entropy per character is chosen.
-A text is rejected if that cross-entropy is above what calibration texts of the language, kept out of the counts,
-show for texts of its length.
+A text is rejected if that cross-entropy is farther above the language's mean than calibration texts, kept out of the
+counts, show for texts of its length: the lengths are cut into classes by powers of two, and what all languages' texts
+of a class or a longer one show as a high quantile, with some slack, is the limit. A quantile of the entropy itself, not
+the worst text, so that one odd calibration text does not let other languages pass.
 
 The models are fitted on a bounded sample: about `docs_per_language` labelled rows of each language, drawn by a hash
 of their id. N-grams of the sample are counted on the executors; only their distinct counts, bounded by the sample,
@@ -91,7 +93,8 @@ class Model:
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
     floor: float
-    #: By language: mean cross-entropy of calibration texts, and how far above it, times the root of the length, is too far.
+    #: By language: mean cross-entropy of calibration texts; by length class: how far above it is too far.
+    means: np.ndarray
     limits: np.ndarray
 
     def _find(self, table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +131,30 @@ class Model:
         return n, -sums / np.maximum(n, 1)[:, None]
 
 
+#: Classes of lengths: the last holds all texts of 2 ** (LENGTHS - 1) symbols or more.
+LENGTHS = 13
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), LENGTHS - 1)
+
+
+def limits(n: np.ndarray, excess: np.ndarray, tail: float, slack: float, room: float) -> np.ndarray:
+    """By length class: slack times the tail quantile of the excess, and room; never lower than of a longer class.
+
+    A class of few texts takes those of its neighbours in, until it has 50, or all there are.
+    """
+    classes = length_class(n)
+    out = np.full(LENGTHS, np.inf)
+    if len(n):
+        for c in range(LENGTHS):
+            reach = 0
+            while (near := np.abs(classes - c) <= reach).sum() < min(50, len(n)):
+                reach += 1
+            out[c] = max(0.0, float(np.quantile(excess[near], tail))) * slack + room
+    return np.maximum.accumulate(out[::-1])[::-1]
+
+
 def _gram_counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,28 +211,27 @@ def kneser_ney(counts: dict[str, dict[str, int]], order: int) -> Model:
         grams.append(_table({g: np.log(p) for g, p in now.items()}, width))
         contexts.append(_table({h: np.log(w) for h, w in weight.items()}, width))
         lower = now
-    return Model(languages, order, grams, contexts, floor, np.zeros((width, 2)))
+    return Model(languages, order, grams, contexts, floor, np.zeros(width), np.full(LENGTHS, np.inf))
 
 
-def labelled(docs: DataFrame, docs_per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, raw, part) of the sample; part 0 is a quarter, for calibration."""
+def labelled(docs: DataFrame, docs_per_language: int, max_languages: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, raw, part) of the sample, of the most frequent languages; part 0 is a quarter, for calibration."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    there = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in there.items():
-        share = F.when(F.col(lang_col) == lang, min(1.0, docs_per_language / n)).otherwise(share)
+    there = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    share = F.element_at(F.create_map(*[F.lit(x) for r in there for x in (r.lang, min(1.0, docs_per_language / r.n))]), F.col(lang_col)) if there else F.lit(0.0)
     dealt = F.xxhash64(F.col(id_col).cast("string"))
-    rows = rows.where(F.pmod(dealt, F.lit(1 << 20)) < share * (1 << 20))
+    rows = rows.where(F.pmod(dealt, F.lit(1 << 20)) < F.coalesce(share, F.lit(0.0)) * (1 << 20))
     return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("raw"), F.pmod(F.shiftright(dealt, 20), F.lit(4)).alias("part"))
 
 
-def fit(docs: DataFrame, order: int = 4, docs_per_language: int = 2000, tail: float = 0.9995, slack: float = 3.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, order: int = 4, docs_per_language: int = 2000, max_languages: int = 200, tail: float = 0.999, slack: float = 1.5, room: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The models of all languages of lang_col, on a sample of rows with a language and a text (see `labelled`).
 
-    tail, slack: a text is rejected beyond `slack` times the `tail` quantile of the calibration texts' excess.
+    tail, slack, room: a text is rejected beyond `slack` times the `tail` quantile of the calibration texts' excess, in
+    nats a character, and `room`, for its class of lengths (see `limits`).
     Without a usable row the model has no language and predicts `und` for all.
     """
-    sample = labelled(docs, docs_per_language, id_col, text_col, lang_col)
+    sample = labelled(docs, docs_per_language, max_languages, id_col, text_col, lang_col)
     counted = sample.where("part > 0").select("lang", "raw").mapInArrow(_gram_counts(order), "lang string, gram string, n long")
     counts: dict[str, dict[str, int]] = {}
     for r in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -225,9 +251,9 @@ def fit(docs: DataFrame, order: int = 4, docs_per_language: int = 2000, tail: fl
         everyone = seen["h"].mean() if len(seen) else 0.0
         for i in range(len(model.languages)):
             own = seen[seen["best"] == i]
-            mean = own["h"].mean() if len(own) else everyone
-            excess = (own["h"] - mean) * np.sqrt(own["n"])
-            model.limits[i] = mean, slack * max(excess.quantile(tail), 1.0) if len(own) else np.inf
+            model.means[i] = own["h"].mean() if len(own) else everyone
+        n, best, h = (seen[c].to_numpy() for c in ("n", "best", "h"))
+        model.limits = limits(n, h - model.means[best], tail, slack, room)
     return model
 
 
@@ -235,7 +261,9 @@ def predict(text, model: Model, spark: SparkSession):
     """A column of struct lang, score, entropy, rejected for a column of texts.
 
     score is the language's share of the likelihoods of 32 characters, or of fewer if the text has fewer. A text that
-    is null or has no letter has lang `und`, score 0, a null entropy, and is rejected.
+    is null or has no letter has lang `und`, score 0, a null entropy, and is rejected. Of equally likely languages the
+    first by name is told. A text of any length is read whole; repeated rows get equal answers; nothing but the text is
+    looked at, so other columns cannot clash.
     """
     shared = spark.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
@@ -248,7 +276,7 @@ def predict(text, model: Model, spark: SparkSession):
         best, least = h.argmin(axis=1), h.min(axis=1)
         score = 1 / np.exp(-(h - least[:, None]) * np.minimum(n, 32)[:, None]).sum(axis=1)
         lettered = n > 1
-        rejected = ~lettered | ((least - m.limits[best, 0]) * np.sqrt(np.maximum(n, 1)) > m.limits[best, 1])
+        rejected = ~lettered | (least - m.means[best] > m.limits[length_class(n)])
         return [{"lang": m.languages[b], "score": s, "entropy": e, "rejected": r} if ok else {"lang": "und", "score": 0.0, "entropy": None, "rejected": True} for b, s, e, r, ok in zip(best.tolist(), score.tolist(), least.tolist(), rejected.tolist(), lettered.tolist(), strict=True)]
 
     def run(texts: list[bytes | None]) -> pa.Array:

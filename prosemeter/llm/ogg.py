@@ -2,7 +2,9 @@
 
 The reader finds pages by their capture pattern, verifies each page's checksum, reassembles packets from the lacing
 values (a packet ends at a value under 255 and may go on over pages), keeps logical streams apart by their serial
-number, and derives times from granule positions. Pages with a bad checksum are left out and counted, and the packet
+number, and derives times from granule positions: a page tells the position of the last packet that ends on it, and the
+packets before it get positions in between, in proportion to their lengths. A further stream of a serial number that was
+used before (a chained file) is a stream of its own. Pages with a bad checksum are left out and counted, and the packet
 they interrupt is dropped rather than patched up. The writer makes such files of 8-bit samples.
 """
 
@@ -53,7 +55,7 @@ class Page:
 
 @dataclass
 class Stream:
-    """One logical stream: its packets, whole ones only, and the granule position when each was complete."""
+    """One logical stream: its packets, whole ones only, and the granule position that a page told for each, or -1."""
 
     serial: int
     packets: list[bytes] = field(default_factory=list)
@@ -65,13 +67,39 @@ class Stream:
     _open: list[bytes] | None = None
     _next: int | None = None
 
+    def positions(self) -> list[float]:
+        """The position at the end of each packet; between those that pages told, by the packets' lengths.
+
+        Before the first told one positions grow from 0; after the last, nothing tells them and they are -1, as are all
+        of a stream that tells none.
+        """
+        out, start, known = [-1.0] * len(self.packets), 0, 0.0
+        for i, told in enumerate(self.granules):
+            if told == _NONE:
+                continue
+            total = sum(map(len, self.packets[start : i + 1]))
+            done = 0
+            for j in range(start, i):
+                done += len(self.packets[j])
+                out[j] = known + (told - known) * done / total if total else known
+            out[i], start, known = float(told), i + 1, float(told)
+        return out
+
+    def disorder(self) -> int:
+        """How often a page tells an earlier position than a page before it."""
+        told = [g for g in self.granules if g != _NONE]
+        return sum(a > b for a, b in zip(told, told[1:]))
+
 
 @dataclass
 class Media:
+    """streams: by serial number, the last of each; earlier: those before it of the same number, as they ended."""
+
     streams: dict[int, Stream]
     pages: int
     bad_pages: int
     skipped_bytes: int
+    earlier: list[Stream] = field(default_factory=list)
 
 
 def write(streams: list[tuple[int, list[bytes], list[int]]], page_body: int = 4080) -> bytes:
@@ -132,9 +160,12 @@ def read(data: bytes) -> Media:
             continue
         media.pages += 1
         at = end
+        held = media.streams.get(page.serial)
+        if held is not None and page.flags & 2:  # its first page again: a chained stream
+            media.earlier.append(media.streams.pop(page.serial))
         _take(media.streams.setdefault(page.serial, Stream(page.serial)), page)
     media.skipped_bytes += len(data) - at
-    for s in media.streams.values():
+    for s in [*media.earlier, *media.streams.values()]:
         s.lost += s._open is not None
         s._open = None
     return media
@@ -187,14 +218,14 @@ def load(data: bytes) -> tuple[bytes, list[float], Media]:
     """
     media = read(data)
     streams = [media.streams[k] for k in sorted(media.streams)]
-    if media.bad_pages or media.skipped_bytes or any(s.lost or not (s.begun and s.ended) for s in streams):
+    if media.bad_pages or media.skipped_bytes or media.earlier or any(s.lost or not (s.begun and s.ended) for s in streams):
         raise ValueError("damaged Ogg file")
     seconds, own = [], []
     for s in streams:
         name, _, _, rate, _, total = _CODEC.unpack(s.packets[0])
         if name != _NAME or sum(map(len, s.packets[1:])) != total:
             raise ValueError("not a whole stream of samples")
-        seconds.append(max(s.granules) / rate)
+        seconds.append(s.positions()[-1] / rate)
         own.append(s.packets[1:])
     longest = max(map(len, own), default=0)
     return b"".join(p[i] for i in range(longest) for p in own if i < len(p)), seconds, media
@@ -207,7 +238,11 @@ def padded(raw: bytes | None, unit: int = 192) -> bytes:
 
 
 def stored_column(text):
-    """A binary column: the Ogg file of each text's padded bytes; a null text counts as empty."""
+    """A binary column: the Ogg file of each text's padded bytes; a null text counts as empty.
+
+    Equal texts give equal files; a text of any length is stored whole; an empty table gives an empty column. Nothing but
+    the text is looked at, so ids may be null or repeated and other columns cannot clash.
+    """
     return over_texts(lambda texts: pa.array([store(padded(t)) for t in texts], pa.binary()), "binary")(text)
 
 
@@ -220,10 +255,15 @@ def _probe(data: bytes | None) -> dict | None:
     payload, seconds, media = load(data)
     streams = list(media.streams.values())
     n = len(payload)
-    samples = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    power, above = int((samples * samples).sum()) / n, samples > int(samples.sum()) / n
+    samples = np.frombuffer(payload, np.uint8)
+    times = np.bincount(samples, minlength=256)
+    level = np.arange(256) - 128
+    power, above = int((times * level * level).sum()) / n, samples > int((times * level).sum()) / n + 128
     turns = int((above[1:] != above[:-1]).sum())
-    feature = f"streams={len(streams)};pages={media.pages};packets={sum(len(s.packets) for s in streams)};seconds={','.join(f'{x:.6f}' for x in seconds)};power={power:.4f};crossings={turns}"
+    ends = [np.array(s.positions()) for s in streams]
+    longest = max(float(np.diff(e, prepend=0).max()) for e in ends)
+    told = hashlib.sha256(b"".join(np.round(e * 1000).astype(np.int64).tobytes() for e in ends)).hexdigest()[:16]
+    feature = f"streams={len(streams)};pages={media.pages};packets={sum(len(s.packets) for s in streams)};seconds={','.join(f'{x:.6f}' for x in seconds)};longest={longest:.3f};times={told};disorder={sum(s.disorder() for s in streams)};power={power:.4f};crossings={turns}"
     return {
         "payload_bytes": n,
         "payload_sha256": hashlib.sha256(payload).hexdigest(),
@@ -241,16 +281,20 @@ def probed_column(media):
 
 
 def inspected_column(media):
-    """A column of struct about any Ogg file, damaged ones too: pages, bad_pages, and an array of streams."""
-    one = pa.struct([("serial", pa.int64()), ("pages", pa.int64()), ("packets", pa.int64()), ("lost", pa.int64()), ("bytes", pa.int64()), ("granule", pa.int64())])
+    """A column of struct about any Ogg file, damaged ones too: pages, bad_pages, and an array of streams, chained ones too.
+
+    positions: of each packet, in samples or what the codec counts; disorder: steps back. Null for null; an empty file has
+    no page and no stream.
+    """
+    one = pa.struct([("serial", pa.int64()), ("pages", pa.int64()), ("packets", pa.int64()), ("lost", pa.int64()), ("bytes", pa.int64()), ("granule", pa.int64()), ("disorder", pa.int64()), ("positions", pa.list_(pa.float64()))])
     kind = pa.struct([("pages", pa.int64()), ("bad_pages", pa.int64()), ("skipped_bytes", pa.int64()), ("streams", pa.list_(one))])
 
     def of(data: bytes | None) -> dict | None:
         if data is None:
             return None
         m = read(data)
-        streams = [{"serial": s.serial, "pages": s.pages, "packets": len(s.packets), "lost": s.lost, "bytes": sum(map(len, s.packets)), "granule": max(s.granules, default=_NONE)} for _, s in sorted(m.streams.items())]
+        streams = [{"serial": s.serial, "pages": s.pages, "packets": len(s.packets), "lost": s.lost, "bytes": sum(map(len, s.packets)), "granule": max(s.granules, default=_NONE), "disorder": s.disorder(), "positions": s.positions()} for s in [*m.earlier, *(s for _, s in sorted(m.streams.items()))]]
         return {"pages": m.pages, "bad_pages": m.bad_pages, "skipped_bytes": m.skipped_bytes, "streams": streams}
 
-    returns = "pages long, bad_pages long, skipped_bytes long, streams array<struct<serial: long, pages: long, packets: long, lost: long, bytes: long, granule: long>>"
+    returns = "pages long, bad_pages long, skipped_bytes long, streams array<struct<serial: long, pages: long, packets: long, lost: long, bytes: long, granule: long, disorder: long, positions: array<double>>>"
     return over_texts(lambda files: pa.array([of(f) for f in files], kind), returns)(media)

@@ -242,6 +242,38 @@ def test_ogg_streams_pages_and_damage():
     assert ogg.read(data[:-10]).streams[7].packets == streams[0][1][: len(ogg.read(data[:-10]).streams[7].packets)]
 
 
+def test_ogg_times_of_each_packet():
+    """Positions between those that pages tell, by lengths; a chained stream of the same serial; steps back."""
+    random.seed(13)
+    packets = [b"", *(os.urandom(random.randint(1, 700)) for _ in range(60))]
+    ends = np.cumsum([len(p) for p in packets]).tolist()
+    s = ogg.read(ogg.write([(3, packets, ends)], page_body=2000)).streams[3]
+    assert s.granules.count(-1) > 30 and s.positions() == pytest.approx(ends) and s.disorder() == 0
+    told = [ends[i] for i, g in enumerate(s.granules) if g != -1]
+    assert [g for g in s.granules if g != -1] == told
+    first, second = ogg.write([(3, packets[:5], ends[:5])]), ogg.write([(3, packets[5:], ends[5:])])
+    media = ogg.read(first + second)
+    assert media.earlier[0].packets == packets[:5] and media.streams[3].packets == packets[5:]
+    assert media.earlier[0].positions() == pytest.approx(ends[:5])
+    assert ogg.read(ogg.write([(1, [b"a" * 3000] * 4, [0, 9, 5, 12])], page_body=1)).streams[1].disorder() == 1
+    s = ogg.Stream(1, [b"ab", b"abcd", b"ab"], [-1, 12, -1])
+    assert s.positions() == [4.0, 12.0, -1.0] and ogg.Stream(1, [b"a"], [-1]).positions() == [-1.0]
+
+
+def test_ogg_features_by_plain_loops():
+    random.seed(14)
+    for n in (1, 500, 4000, 30_000):
+        payload = ogg.padded(bytes(random.randrange(32, 127) for _ in range(n)))
+        got = dict(x.split("=") for x in ogg._probe(ogg.store(payload))["feature"].split(";"))
+        centred = [b - 128 for b in payload]
+        mean = sum(centred) / len(centred)
+        assert float(got["power"]) == pytest.approx(sum(x * x for x in centred) / len(centred), abs=1e-4)
+        assert int(got["crossings"]) == sum((a > mean) != (b > mean) for a, b in zip(centred, centred[1:]))
+        pieces = [payload[i : i + 960] for i in range(0, len(payload), 960)]
+        assert [float(x) for x in got["seconds"].split(",")] == pytest.approx([sum(map(len, pieces[k::2])) / 8000 for k in (0, 1)])
+        assert (int(got["streams"]), int(got["packets"]), int(got["disorder"]), float(got["longest"])) == (2, len(pieces) + 2, 0, max(map(len, pieces)))
+
+
 def test_ogg_query(spark, sf):
     for r in queries.op3_ogg(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
         raw = (r.text or "").encode()

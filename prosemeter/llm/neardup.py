@@ -38,6 +38,9 @@ from .common import blocks, discard, join_each, materialise, possibly_in
 #: Minimum hashes of a class; trees of the forest; hashes of a tree's order; members of a small region; rows of a frame.
 POOL, TREES, DEPTH, REGION, FRAME = 64, 16, 8, 32, 32
 
+#: Links that one task contracts by itself.
+UNITED = 100_000
+
 #: Counters of shingles; their size does not grow with the input.
 COUNTERS = 1 << 16
 
@@ -217,9 +220,12 @@ def _united(frames):
 def components(links: DataFrame) -> DataFrame:
     """(hi, lo) for each node `hi` of links(lo, hi) that is not the smallest of its component `lo`.
 
-    Every node joins its neighbours to its smallest neighbour, again and again, until only stars are left.
+    Links are first contracted within tasks of about UNITED each. Then every node joins its neighbours to its smallest
+    neighbour, again and again, until only stars are left.
     """
-    edges = materialise(links.select("lo", "hi").mapInPandas(_united, "lo long, hi long"), "edges")
+    links = links.select("lo", "hi")
+    parts = 1 + links.count() // UNITED
+    edges = materialise(links.repartition(parts).mapInPandas(_united, "lo long, hi long"), "edges")
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)")), F.sum("lo"))
     before = edges.select(mark.alias("m")).first().m
     while before[0]:
@@ -346,7 +352,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, pool: in
     small = forest.where(F.col("c") <= region).select("tree", "key", "cls", "n", "packed").repartition("key").sortWithinPartitions("tree", "key", "cls")
     pairs = small.mapInArrow(_neighbours(region, None, percent, trees, pool), "lo long, hi long, same int")
     large = forest.where(F.col("c") > region).repartitionByRange("tree", "order", "cls").sortWithinPartitions("tree", "order", "cls").select("tree", "key", "cls", "n", "packed")
-    framed = large.mapInArrow(_neighbours(frame, 8, percent, trees, pool), "lo long, hi long, same int")
+    framed = large.mapInArrow(_neighbours(frame, 3, percent, trees, pool), "lo long, hi long, same int")
     pairs = pairs.withColumn("whole", F.lit(True)).union(framed.withColumn("whole", F.lit(False)))
     pairs = materialise(pairs.groupBy("lo", "hi").agg(F.max("same").alias("same"), F.max("whole").alias("whole")), "pairs")
 

@@ -129,7 +129,8 @@ def test_prefix_search_alone_is_exact(spark, sf):
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()], 85)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "UNITED", 30)
     random.seed(5)
     links = [(min(a, b), max(a, b)) for a, b in ((random.randrange(300), random.randrange(300)) for _ in range(220)) if a != b] + [(i, i + 1) for i in range(1000, 1060)]
     top = {}

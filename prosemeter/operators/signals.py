@@ -95,9 +95,18 @@ def mark_count(text: Column, marks: str = lexicon.MARKS) -> Column:
     return F.length(text) - F.length(F.translate(text, marks, ""))
 
 
-def everyday_share(tokens: Column, everyday: Column) -> Column:
-    """Share of tokens within an array of everyday words; 1 without tokens."""
-    return let(tokens, lambda t: F.coalesce(F.try_divide(F.size(F.filter(t, lambda w: F.array_contains(everyday, w))).cast("double"), F.size(t)), F.lit(1.0)))
+def everyday_words(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word): the distinct words of a corpus of human prose, and the stop words."""
+    own = corpus.select(F.explode(letters(F.col(text_col))).alias("word"))
+    return own.union(corpus.sparkSession.createDataFrame([(w,) for w in lexicon.STOPWORDS], "word string")).distinct()
+
+
+def plain_register(docs: DataFrame, everyday: DataFrame) -> DataFrame:
+    """(doc_id, plain): share of words that are everyday ones; 1 without words. Distinct words of a document are joined."""
+    counted = tokens_of(docs, letters(F.col("text"))).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
+    joined = counted.join(everyday.withColumn("known", F.lit(True)), "word", "left")
+    shares = joined.groupBy("doc_id").agg((F.sum(F.when(F.col("known"), F.col("c")).otherwise(0)) / F.sum("c")).alias("plain"))
+    return docs.select("doc_id").join(shares, "doc_id", "left").select("doc_id", F.coalesce("plain", F.lit(1.0)).alias("plain"))
 
 
 def _ratio(t: str | None) -> float | None:
@@ -118,14 +127,18 @@ def perplexity(ratio: Column) -> Column:
     return clamped((ratio - 0.30) / 0.30 * 100)
 
 
-def surprisal_table(corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n, surprisal, rank) of a corpus: -log2 of each word's share; rank 1 is the most frequent."""
+def surprisal_table(corpus: DataFrame, text_col: str = "text", common: int = 5000) -> DataFrame:
+    """(word, n, surprisal, rank) of a corpus: -log2 of each word's share; rank 1 is the most frequent.
+
+    Only the `common` most frequent words have a rank, so no task sees the whole vocabulary; it is null for the others.
+    """
     from pyspark.sql import Window
 
     counts = corpus.select(F.explode(letters(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
-    return counts.join(F.broadcast(total)).select("word", "n", (-F.log2(F.col("n") / F.col("total"))).alias("surprisal"), rank.alias("rank"))
+    top = counts.orderBy(F.desc("n"), "word").limit(common).select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("rank"))
+    told = counts.join(F.broadcast(total)).join(F.broadcast(top), "word", "left")  # one row, and `common` rows at most
+    return told.select("word", "n", (-F.log2(F.col("n") / F.col("total"))).alias("surprisal"), "rank")
 
 
 def tokens_of(docs: DataFrame, tokens: Column) -> DataFrame:

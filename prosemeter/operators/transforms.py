@@ -155,12 +155,19 @@ def synonyms(key: Column, text: Column, intensity: float, seed: int = 0) -> Colu
 
 
 def contractions(key: Column, text: Column, intensity: float, seed: int = 0) -> Column:
-    """From intensity .6 on, each phrase of the table in the whole text with chance .25 + .35 * intensity."""
+    """From intensity .6 on, each hit of a phrase of the table with chance .25 + .35 * intensity; a capital is kept."""
     if intensity < 0.6:
         return text
-    for i, (long, short) in enumerate(lexicon.CONTRACTIONS.items()):
-        text = F.when(chance(key, seed, "contract", F.lit(i)) < 0.25 + 0.35 * intensity, F.regexp_replace(text, rf"\b{long}\b", short)).otherwise(text)
-    return text
+    pattern = rf"(?i)\b{lexicon.trie(list(lexicon.CONTRACTIONS))}\b"
+    table = F.create_map(*[F.lit(x) for pair in lexicon.CONTRACTIONS.items() for x in pair])
+
+    def swapped(m: Column, i: Column) -> Column:
+        short = F.element_at(table, F.lower(m))
+        cased = F.when(F.left(m, F.lit(1)) == F.lower(F.left(m, F.lit(1))), short).otherwise(F.concat(F.upper(F.left(short, F.lit(1))), F.substring(short, 2, 1 << 30)))
+        return F.when(chance(key, seed, "contract", i) < 0.25 + 0.35 * intensity, cased).otherwise(m)
+
+    changed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), swapped)
+    return F.array_join(F.flatten(F.zip_with(F.split(text, pattern), changed, lambda part, m: F.array(part, F.coalesce(m, F.lit(""))))), "")
 
 
 def asides(key: Column, text: Column, intensity: float, seed: int = 0) -> Column:

@@ -70,10 +70,17 @@ SUFFIXES = [
 
 DRAFTS = "SELECT doc_id, lang, source, text || CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {quoted(s)}" for i, s in enumerate(SUFFIXES)) + " END AS text FROM documents"
 
-PATTERNS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(p)}, {quoted(label)}, {quoted(kind)}, {quoted(sev)})" for i, (p, label, _, kind, sev) in enumerate(lexicon.TELLS)) + ") p(i, pattern, label, kind, given)"
+def phrase_pattern(phrases: list[str]) -> str:
+    return r"\b(?:" + "|".join(p.replace("-", r"\-") for p in sorted(phrases, key=len, reverse=True)) + r")\b"
 
-PASSIVE = r"(?i)\b(?:they|these|it|this|those)\s+(?:are|were|is|was)\s+(?:not\s+)?(?:seen|used|made|treated|viewed|built|meant|held|taken|based)\s+(?:as|in|on|at|to|with|for|by)\b"
-BUT_AS = r"(?i)\b(?:is|are|was|were|be|been|used|seen|made|built|treated)\s+not\s+[a-z]{2,20}(?: [a-z]{2,20}){0,5}\s+but\s+as "
+
+#: Each tell by itself, where the operators look for all at once.
+PATTERNS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(phrase_pattern(phrases))}, {quoted(label)}, {quoted(kind)}, {quoted(sev)})" for i, (label, phrases, _, kind, sev) in enumerate(lexicon.TELLS)) + ") p(i, pattern, label, kind, given)"
+#: What any tell's phrase begins with, as a first look.
+HEADS = r"\b(?:" + "|".join(sorted({p[:5] for t in lexicon.TELLS for p in t[1]})).replace("-", r"\-") + ")"
+
+NOT_DONE = r"(?i)\b(?:it|this|that|these|those|they) (?:is|are|was|were) (?:not )?[a-z]+(?:ed|en|lt|ld|nt|de) (?:as|at|by|for|from|in|on|to|with)\b"
+BUT_AS = r"(?i)\bnot(?: [a-z]+){1,6} but as\b"
 
 
 def snip(x: str, limit: int = 80) -> str:
@@ -84,13 +91,13 @@ def checks(source: str, name: str) -> dict[str, str]:
     """CTEs over a relation source(k, text): name_s (k, text, s), name_tells, name_issues (k, kind, severity, snippet)."""
     marks, danger = quoted(lexicon.MARKS), quoted(lexicon.DANGEROUS_MARKS)
     n_marks, n_danger = (f"(length(text) - length(translate(text, {m}, '')))" for m in (marks, danger))
-    listish = r"len(regexp_extract_all(text, '(?m)^\s*(?:[-*•]|[0-9]+[.)])\s+'))"
-    headingish = r"len(regexp_extract_all(text, '(?m)^\s{0,3}#{1,3}\s+|^\s{0,3}[A-Z][A-Za-z ]{3,}:\s*$'))"
+    lines = lambda pattern: f"len(list_filter(string_split(text, chr(10)), lambda x9: regexp_matches(x9, '{pattern}')))"
+    listish, headingish = lines(r"^\s*(?:[-*•]|[0-9]+[.)])\s"), lines(r"^ {0,3}(?:#{1,3} |[A-Z][A-Za-z ]{3,}:\s*$)")
     runs = f"{name}_runs"
     return {
         f"{name}_s": f"SELECT k, text, {sentences('text')} AS s, len({words('text')}) AS nw FROM {source}",
         "patterns": PATTERNS,
-        f"{name}_tells": f"SELECT k, i, label, kind, given, unnest(regexp_extract_all(lower(text), pattern)) AS m FROM {source}, patterns",
+        f"{name}_tells": f"SELECT k, i, label, kind, given, unnest(regexp_extract_all(lower(text), pattern)) AS m FROM (SELECT * FROM {source} WHERE regexp_matches(lower(text), {quoted(HEADS)})) src, patterns",
         f"{name}_each": f"SELECT k, nw, len(s) AS ns, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM {name}_s",
         f"{name}_short": f"SELECT k, ns, pos, sentence, pos - row_number() OVER (PARTITION BY k ORDER BY pos) AS island FROM {name}_each WHERE len({spaced('sentence')}) <= 5",
         runs: f"SELECT k, count(*) AS run, min(pos) AS start, string_agg(sentence, ' ' ORDER BY pos) AS joined FROM {name}_short WHERE ns >= 3 GROUP BY k, island QUALIFY row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, min(pos)) = 1",
@@ -108,7 +115,7 @@ UNION ALL SELECT k, kind, coalesce(given, CASE WHEN len({spaced('m')}) > 1 THEN
 UNION ALL SELECT k, 'triad', 'low', g[1] || ', ' || g[2] || ', ' || g[3] FROM {name}_triad WHERE {' + '.join(f"regexp_matches(g[{i}], '(?:{chr(124).join(lexicon.ABSTRACT_ENDINGS)})$')::INT" for i in (1, 2, 3))} >= 2
 UNION ALL SELECT k, 'staccato', 'low', {snip('joined', 60)} FROM {runs} WHERE run >= 3
 UNION ALL SELECT k, 'punctuation', CASE WHEN dashes * 1000.0 / n >= 15 THEN 'medium' ELSE 'low' END, repeat('—', least(dashes, 8)::INT) FROM {name}_dash WHERE dashes >= 3 AND n > 0 AND dashes * 1000.0 / n >= 10
-UNION ALL SELECT k, 'antithesis', 'low', {snip('sentence', 70)} FROM {name}_each WHERE regexp_matches(sentence, '(?i)\\bnot\\b') AND (regexp_matches(sentence, {quoted(PASSIVE)}) OR regexp_matches(sentence, {quoted(BUT_AS)}))
+UNION ALL SELECT k, 'antithesis', 'low', {snip('sentence', 70)} FROM {name}_each WHERE regexp_matches(sentence, '(?i)\\bnot\\b') AND (regexp_matches(sentence, {quoted(NOT_DONE)}) OR regexp_matches(sentence, {quoted(BUT_AS)}))
 UNION ALL SELECT k, 'listing', 'medium', array_to_string(f, ', ') FROM (SELECT k, list_filter({listed(lexicon.LIST_MARKERS)}, lambda m: len(list_filter(s, lambda x: starts_with(lower(x), m))) > 0) AS f FROM {name}_s) WHERE len(f) > 0
 UNION ALL SELECT k, 'structure', 'medium', ({listish} + 2 * {headingish})::VARCHAR FROM {source} WHERE {listish} + 2 * {headingish} >= 4
 UNION ALL SELECT k, 'short', 'low', nw::VARCHAR FROM {name}_s WHERE nw > 0 AND nw < 30

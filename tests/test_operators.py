@@ -113,6 +113,34 @@ def test_files_round_trip(fmt):
     assert files.text_of(files.to_bytes(text, fmt), fmt) == text
 
 
+def test_pdf_of_other_writers():
+    """Nested parentheses, hex strings, UTF-16, arrays with gaps, text matrices, and streams without a wrapper."""
+    import zlib as z
+
+    raw = z.compressobj(wbits=-15)
+    shown = b"BT 1 0 0 1 50 700 Tm (a (nested) b) Tj 1 0 0 1 50 680 Tm <48656C6C6F> Tj 0 -14 Td [(wi) -20 (de) -400 (gap)] TJ T* (\\101\\)\xfe) Tj T* <FEFF00E4263A> Tj ET"
+    body = raw.compress(shown) + raw.flush()
+    data = b"%PDF-1.4\n1 0 obj\n<< /Length " + str(len(body)).encode() + b" /Filter /FlateDecode /Resources << /Font << >> >> >>\nstream\n" + body + b"\nendstream\nendobj\n"
+    assert files.from_pdf(data).split("\n") == ["a (nested) b", "Hello", "wide gap", "A)\u00fe", "\u00e4\u263a"]
+
+
+def test_docx_runs_and_tables():
+    w = files._W[1:-1]
+    body = '<w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:cr/><w:t>c</w:t><w:noBreakHyphen/><w:delText>x</w:delText></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>2</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as package:
+        package.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    assert files.from_docx(out.getvalue()) == "a\tb\nc-\n1\t2"
+
+
+def test_contractions_by_hit(spark):
+    got = one(spark, transforms.contractions(F.lit(3), F.col("t"), 0.9, 1), t="It is here. We do not go. They cannot stay; do not ask. " * 20)
+    assert "It's" in got and "It is" in got and "don't" in got and "do not" in got and "can't" in got
+
+
 def test_extraction_tells_why_there_is_no_text(spark):
     frame = spark.createDataFrame([(b"%PDF-1.4 junk", "pdf"), (b"PK\x03\x04 junk", "docx"), (b"\xef\xbb\xbfHi\xc2\xa0you", "txt"), (b"caf\xe9", "txt"), (b"", "txt")], "c binary, f string")
     got = [r.x for r in frame.select(files.extracted(F.col("c"), F.col("f")).alias("x")).collect()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon
 from ..functions.text import let, sentences
 from . import issues
 
@@ -14,11 +15,12 @@ NAMES = ("human", "mix", "ai")
 def raw_weights(sents: Column, allowlist: list[str] | None = None, keep_structure: bool = False) -> Column:
     """By sentence: 0, 1 or 2, from its own distinct issues (high 2, medium 1, low 0)."""
 
-    def of(s: Column) -> Column:
-        found = issues.distinct_issues(issues.weighty(s, allowlist, keep_structure))
+    def of(s: Column, told: Column) -> Column:
+        found = issues.distinct_issues(issues.weighty(s, allowlist, keep_structure, told))
         return F.least(F.lit(2), issues.penalty(found, 2, 1, 0))
 
-    return F.transform(sents, of)
+    told = F.lower(F.array_join(sents, " ")).rlike(lexicon.ANY_TELL)
+    return let(told, lambda t: F.transform(sents, lambda s: of(s, t)))
 
 
 def smoothed(weights: Column) -> Column:

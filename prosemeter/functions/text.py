@@ -56,8 +56,8 @@ def alphanumeric(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Words after everything but letters, digits and apostrophes has become a space."""
-    return spaced(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}'’ \t\r\n]+", " "))
+    """Runs of letters, digits and apostrophes, on lowered text."""
+    return all_of(F.lower(text), r"[\p{L}\p{N}'’]+")
 
 
 def n_grams(tokens: Column, n: int) -> Column:
@@ -73,6 +73,22 @@ def n_grams(tokens: Column, n: int) -> Column:
     return let(tokens, of)
 
 
+def gram_hashes(tokens: Column, n: Column) -> Column:
+    """64-bit hashes of the n-grams in order; n, by row, is 4 or 8.
+
+    A gram's hash is that of its halves' hashes, so each doubling is one pass: two passes for four words, three for
+    eight. A slice for each gram would copy the whole array each time, which is quadratic in a long text.
+    """
+
+    def doubled(h: Column, k: int) -> Column:
+        count = F.size(h) - k
+        pairs = F.zip_with(F.slice(h, F.lit(1), count), F.slice(h, F.lit(1 + k), count), lambda a, b: F.xxhash64(a, b))
+        return F.when(count > 0, pairs).otherwise(F.array().cast("array<bigint>"))
+
+    four = let(let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda h: doubled(h, 1)), lambda h: doubled(h, 2))
+    return let(four, lambda h: F.when(n == 4, h).otherwise(doubled(h, 4)))
+
+
 def clamped(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     """x within bounds; null stays null, which greatest() and least() alone would not keep."""
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))

@@ -318,6 +318,24 @@ first and foremost: first
 last but not least: last
 """)
 TRANSITION_SWAPS = {"furthermore": "also", "moreover": "besides", "additionally": "also", "consequently": "so", "nevertheless": "still", "nonetheless": "still", "accordingly": "so", "subsequently": "then", "conversely": "but", "similarly": "likewise", "thus": "so", "hence": "so", "therefore": "so", "ultimately": "in the end", "notably": "above all"}
+#: What a transition before a comma may become; one is drawn.
+OPENER_CHOICES = {
+    "furthermore": ["also", "what is more"],
+    "moreover": ["besides", "on top of that"],
+    "additionally": ["also", "as well as that"],
+    "consequently": ["so", "as a result"],
+    "nevertheless": ["still", "even so"],
+    "nonetheless": ["still", "all the same"],
+    "accordingly": ["so", "for that reason"],
+    "subsequently": ["then", "later"],
+    "conversely": ["by contrast", "the other way round"],
+    "similarly": ["likewise", "in the same way"],
+    "thus": ["so", "in this way"],
+    "hence": ["so", "for this reason"],
+    "therefore": ["so", "that is why"],
+}
+#: The hedges that may go from the start of a sentence.
+START_HEDGES = ["notably", "importantly", "essentially", "ultimately", "overall", "arguably"]
 WORD_SWAPS = _swaps("""
 utiliz{e,es,ed,ing}: us{e,es,ed,ing}
 leverag{e,es,ed,ing}: us{e,es,ed,ing}

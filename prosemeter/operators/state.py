@@ -21,6 +21,15 @@ def newest(history: DataFrame, k: int = HISTORY_CAP) -> DataFrame:
     return history.orderBy(F.desc("ts"), F.desc("id")).limit(k)
 
 
+def appended(history: DataFrame, entries: DataFrame) -> DataFrame:
+    """The history and further entries, whose outputs are kept up to TEXT_CAP characters; written as an append."""
+    return history.unionByName(entries.withColumn("output", F.left("output", F.lit(TEXT_CAP))))
+
+
+def cleared(history: DataFrame) -> DataFrame:
+    return history.limit(0)
+
+
 def public(history: DataFrame) -> DataFrame:
     """What others may see of an entry."""
     return history.select("id", "ts", "style", "score")
@@ -32,8 +41,7 @@ def without(history: DataFrame, ids: DataFrame) -> DataFrame:
 
 def generated(docs: DataFrame, history: DataFrame) -> DataFrame:
     """(doc_id, entry): the newest history entry whose output is the document's text but for case and white space."""
-    order = Window.partitionBy("output_key").orderBy(F.desc("ts"), F.desc("id"))
-    first = history.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("output_key", F.col("id").alias("entry"))
+    first = history.groupBy("output_key").agg(F.max_by("id", F.struct("ts", "id")).alias("entry"))
     return docs.select("doc_id", fingerprint(F.col("text")).alias("output_key")).join(first, "output_key").select("doc_id", "entry")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.text import let, sentences, spaced
-from . import signals
+from . import issues, rhythm, signals
 
 
 def strip_marks(text: Column) -> Column:
@@ -129,45 +129,53 @@ def chance(key: Column, seed: int, stage: str, place: Column) -> Column:
 
 
 def varied_openers(key: Column, text: Column, intensity: float, seed: int = 0) -> Column:
-    """From three sentences on, a hedge at the start goes with a chance of .3 + .8 * intensity."""
-    hedge = r"^(?:Perhaps|Generally speaking),? "
-    drop = lambda x, i: F.when(x.rlike(hedge) & (chance(key, seed, "open", i) < 0.3 + 0.8 * intensity), F.regexp_replace(x, hedge, "")).otherwise(x)
-    return let(sentences(text), lambda s: F.when(F.size(s) < 3, text).otherwise(capitalised(F.array_join(F.transform(s, drop), " "))))
+    """From three sentences on: a transition before a comma becomes one of its alternatives, drawn by hash; of other
+    sentences that begin with a hedge, the hedge goes with a chance of .3 + .8 * intensity."""
+    transition = rf"^(?i:({'|'.join(lexicon.OPENER_CHOICES)}))(?=\s*,)"
+    hedge = rf"^(?i:(?:{'|'.join(lexicon.START_HEDGES)})),?\s+"
+    choices = F.create_map(*[x for word, others in lexicon.OPENER_CHOICES.items() for x in (F.lit(word), F.array(*map(F.lit, others)))])
+
+    def other(x: Column, i: Column) -> Column:
+        options = F.element_at(choices, F.lower(F.regexp_extract(x, transition, 1)))
+        pick = F.get(options, F.pmod(F.xxhash64(key, F.lit(seed), F.lit("transition"), i), F.size(options)).cast("int"))
+        return F.concat(_capital(pick), F.regexp_replace(x, transition, ""))
+
+    def of(x: Column, i: Column) -> Column:
+        dropped = chance(key, seed, "open", i) < 0.3 + 0.8 * intensity
+        return F.when(x.rlike(transition), other(x, i)).when(x.rlike(hedge) & dropped, _capital(F.regexp_replace(x, hedge, ""))).otherwise(x)
+
+    return let(sentences(text), lambda s: F.when(F.size(s) < 3, text).otherwise(F.array_join(F.transform(s, of), " ")))
+
+
+def _capital(x: Column) -> Column:
+    return F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 30))
 
 
 def _by_hits(key: Column, text: Column, table: dict[str, list[str]], p: float, seed: int, stage: str) -> Column:
-    """Each token that a table has is swapped with chance p for one of its alternatives."""
-    tokens = F.split(text, " ")
+    """Each hit of a phrase of the table, whatever its case, becomes one of its alternatives with chance p; a capital at
+    its head is kept, and so is what stands around it."""
+    pattern = rf"(?i)\b{lexicon.trie(list(table))}\b"
+    choices = F.create_map(*[x for word, others in table.items() for x in (F.lit(word), F.array(*map(F.lit, others)))])
 
-    def of(w: Column, i: Column) -> Column:
-        out = w
-        for word, others in table.items():
-            pick = F.get(F.array(*map(F.lit, others)), F.pmod(F.xxhash64(key, F.lit(seed), i), F.lit(len(others))).cast("int"))
-            out = F.when((w == word) & (chance(key, seed, stage, i) < p), pick).otherwise(out)
-        return out
+    def swapped(m: Column, i: Column) -> Column:
+        options = F.element_at(choices, F.lower(m))
+        new = F.get(options, F.pmod(F.xxhash64(key, F.lit(seed), F.lit(stage + " choice"), i), F.size(options)).cast("int"))
+        cased = F.when(F.left(m, F.lit(1)) == F.lower(F.left(m, F.lit(1))), new).otherwise(_capital(new))
+        return F.when(chance(key, seed, stage, i) < p, cased).otherwise(m)
 
-    return F.array_join(F.transform(tokens, of), " ")
+    changed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), swapped)
+    return F.array_join(F.flatten(F.zip_with(F.split(text, pattern), changed, lambda part, m: F.array(part, F.coalesce(m, F.lit(""))))), "")
 
 
 def synonyms(key: Column, text: Column, intensity: float, seed: int = 0) -> Column:
-    """From intensity .6 on, with chance .25 + .35 * intensity a hit."""
+    """From intensity .6 on, each hit with chance .25 + .35 * intensity."""
     return text if intensity < 0.6 else _by_hits(key, text, lexicon.SYNONYMS, 0.25 + 0.35 * intensity, seed, "synonym")
 
 
 def contractions(key: Column, text: Column, intensity: float, seed: int = 0) -> Column:
     """From intensity .6 on, each hit of a phrase of the table with chance .25 + .35 * intensity; a capital is kept."""
-    if intensity < 0.6:
-        return text
-    pattern = rf"(?i)\b{lexicon.trie(list(lexicon.CONTRACTIONS))}\b"
-    table = F.create_map(*[F.lit(x) for pair in lexicon.CONTRACTIONS.items() for x in pair])
-
-    def swapped(m: Column, i: Column) -> Column:
-        short = F.element_at(table, F.lower(m))
-        cased = F.when(F.left(m, F.lit(1)) == F.lower(F.left(m, F.lit(1))), short).otherwise(F.concat(F.upper(F.left(short, F.lit(1))), F.substring(short, 2, 1 << 30)))
-        return F.when(chance(key, seed, "contract", i) < 0.25 + 0.35 * intensity, cased).otherwise(m)
-
-    changed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), swapped)
-    return F.array_join(F.flatten(F.zip_with(F.split(text, pattern), changed, lambda part, m: F.array(part, F.coalesce(m, F.lit(""))))), "")
+    table = {k: [v] for k, v in lexicon.CONTRACTIONS.items()}
+    return text if intensity < 0.6 else _by_hits(key, text, table, 0.25 + 0.35 * intensity, seed, "contract")
 
 
 def asides(key: Column, text: Column, intensity: float, seed: int = 0) -> Column:
@@ -204,57 +212,35 @@ def fronted(key: Column, text: Column, intensity: float, seed: int = 0) -> Colum
     return _some(text, 4, lambda x, i: x.rlike(clause) & (chance(key, seed, "front", i) <= 0.55), turn)
 
 
-def split_long(text: Column, max_words: int) -> Column:
-    """Sentences over max_words are cut at their first "; " that leaves five words on either side."""
-
-    def of(s: Column) -> Column:
-        halves = F.split(s, "; ", 2)
-        ok = (F.size(spaced(s)) > max_words) & (F.size(halves) == 2) & (F.length(s) > 60)
-        a, b = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
-        ok = ok & (F.size(spaced(a)) >= 5) & (F.size(spaced(b)) >= 5)
-        return F.when(ok, F.concat(a, F.lit(". "), F.upper(F.left(b, F.lit(1))), F.substring(b, 2, 1 << 30))).otherwise(s)
-
-    return F.array_join(F.transform(sentences(text), of), " ")
-
-
-def merged_short(key: Column, text: Column, intensity: float, min_words: int, seed: int = 0) -> Column:
-    """A short sentence may join the short one before it: a fold over the sentences in order."""
-    p = 0.2 + 0.6 * intensity
-    s = sentences(text)
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("i"))
-
-    def step(a: Column, x: Column) -> Column:
-        last = F.get(a["out"], F.size(a["out"]) - 1)
-        joins = (F.size(a["out"]) > 0) & last.endswith(".") & (F.size(spaced(last)) < min_words) & (F.size(spaced(x)) < min_words) & (chance(key, seed, "merge", a["i"]) < p)
-        joined = F.concat(F.rtrim(last, F.lit(".")), F.lit(", and "), F.lower(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 30))
-        out = F.when(joins, F.concat(F.slice(a["out"], F.lit(1), F.greatest(F.size(a["out"]) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(a["out"], F.array(x)))
-        return F.struct(out.alias("out"), (a["i"] + 1).alias("i"))
-
-    return F.array_join(F.aggregate(s, zero, step, lambda a: a["out"]), " ")
+def _draws(key: Column, sents: Column, seed: int, stage: str) -> Column:
+    return F.transform(sents, lambda _, i: chance(key, seed, stage, i))
 
 
 def varied_length(key: Column, text: Column, intensity: float, min_words: int, max_words: int, seed: int = 0) -> Column:
-    """Only if sentence lengths vary little (under .4) and there are five sentences: splits, then merges."""
-    flat = let(sentences(text), lambda s: (F.size(s) >= 5) & (signals.length_stats(s)[1] < 0.4))
-    return F.when(flat, merged_short(key, split_long(text, max_words), intensity, min_words, seed)).otherwise(text)
+    """From five sentences on whose lengths vary by less than .4: one over max_words is cut with chance
+    .4 + .8 * intensity, and one of three to min_words joins such a one before it with chance .2 + .6 * intensity."""
+    rule = rhythm.Rule((max_words + 1, 1 << 30), (3, min_words), 2 * min_words, 0.4 + 0.8 * intensity, 0.2 + 0.6 * intensity)
+    s = sentences(text)
+    return rhythm.restructured(text, s, _draws(key, s, seed, "length"), text.isNotNull(), rule, 5, 0.4, force=False)
 
 
-def diversified(key: Column, text: Column, seed: int = 0) -> Column:
-    """While rhythm is flat (under .3) and there are four sentences: long ones are split, then neighbours may join."""
-    flat = let(sentences(text), lambda s: (F.size(s) >= 4) & (signals.length_stats(s)[1] < 0.30))
-    return F.when(flat, merged_short(key, split_long(text, 18), 0.5, 35, seed)).otherwise(text)
+def diversified(key: Column, text: Column, source: Column | None = None, intensity: float = 0.5, seed: int = 0) -> Column:
+    """From four sentences on whose lengths vary by less than .30, if the source has any issue: sentences of 18 to 46
+    words are cut and neighbours of 12 to 34 joined, each with chance .35 + .4 * intensity; what stays flat is forced."""
+    source = text if source is None else source
+    p = 0.35 + 0.4 * intensity
+    rule = rhythm.Rule(rhythm.FLAT.cut, rhythm.FLAT.join, rhythm.FLAT.joined, p, p)
+    s = sentences(text)
+    changed = rhythm.restructured(text, s, _draws(key, s, seed, "rhythm"), text.isNotNull(), rule, 4, 0.30, force=True)
+    return F.when(F.size(issues.checks(source, sentences(source))) > 0, changed).otherwise(text)
 
 
 def forced_rhythm(text: Column) -> Column:
-    """If rhythm is still flat, the first two sentences become one, which makes lengths uneven."""
-
-    def of(s: Column) -> Column:
-        flat = (F.size(s) >= 4) & (signals.length_stats(s)[1] < 0.30)
-        second = F.get(s, F.lit(1))
-        first = F.concat(F.rtrim(F.get(s, F.lit(0)), F.lit(".!?")), F.lit(", and "), F.lower(F.left(second, F.lit(1))), F.substring(second, 2, 1 << 30))
-        return F.when(flat, F.array_join(F.concat(F.array(first), F.slice(s, F.lit(3), F.greatest(F.size(s) - 2, F.lit(0)))), " ")).otherwise(text)
-
-    return let(sentences(text), of)
+    """From four sentences on whose lengths vary by less than .30: cuts, then joins, until they vary by .30 or nothing
+    is left to change; no random numbers."""
+    s = sentences(text)
+    never = rhythm.Rule(rhythm.FLAT.cut, rhythm.FLAT.join, rhythm.FLAT.joined, 0.0, 0.0)
+    return rhythm.restructured(text, s, F.transform(s, lambda _: F.lit(1.0)), text.isNotNull(), never, 4, 0.30, force=True)
 
 
 def rewrite(text: Column) -> Column:

@@ -17,11 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, whole: bool = False):
+    """Registers a query; its SQL may name relations of S.DOCS, unless it is whole as it stands."""
+
     def register(f):
         QUERIES[name] = f
         if oracle:
-            ORACLES[name] = S.with_(oracle)
+            ORACLES[name] = oracle if whole else S.with_(oracle)
         return f
 
     return register
@@ -412,13 +414,18 @@ def a14(spark, d):
 # Verdicts
 
 
-def metrics(spark, d):
-    """All signals of a document but compressibility, in one pass over the texts and one aggregation of words."""
+def metrics(spark, d, compress: bool = False):
+    """All signals of a document, in one pass over the texts and one aggregation of words.
+
+    Compressibility, which SQL cannot say, is measured only if asked for; coverage is then over four signals, else three.
+    """
     docs = drafts(spark, d)
     base = docs.select("doc_id", "text", T.sentences(F.col("text")).alias("s"))
-    found = issues.distinct_issues(issues.checks(F.col("text"), F.col("s")))
+    ratio = signals.compression_ratio(F.col("text")) if compress else F.lit(None).cast("double")
+    base = base.withColumn("ratio", ratio)
+    found = issues.distinct_issues(issues.checks(F.col("text"), F.col("s"), ratio=F.col("ratio") if compress else None))
     weights = passages.smoothed(passages.raw_weights(F.col("s")))
-    rows = base.withColumns({"issues": found, "weights": weights})
+    rows = base.withColumns({"issues": found, "weights": weights, "perplexity": signals.perplexity(F.col("ratio"))})
     rows = rows.withColumns({
         "score": issues.naturalness(F.col("issues")),
         "n_high": F.size(F.filter("issues", lambda i: i["severity"] == "high")),
@@ -434,9 +441,11 @@ def metrics(spark, d):
     })
     words = signals.word_choice(docs, logp(spark, d)).select("doc_id", "word_choice")
     rows = rows.drop("text", "s").join(words, "doc_id", "left")
-    return rows.withColumn("coverage", verdict.coverage(F.col("burstiness"), F.col("coherence"), F.col("word_choice")))
+    measured = ["burstiness", "coherence", "word_choice", *(["perplexity"] if compress else [])]
+    return rows.withColumn("coverage", verdict.coverage(*map(F.col, measured)))
 
 
+_KEY = "sha256(trim(regexp_replace(lower(trim(text, E' \\t\\r\\n')), '[ \\t\\r\\n]+', ' ', 'g')))"
 _PLAIN = "CASE WHEN human >= 70 AND score >= 70 THEN 'human' WHEN human >= 40 AND score >= 50 THEN 'mixed' ELSE 'ai' END"
 _DETECT = f"""SELECT doc_id, score, human, ai, CASE WHEN unsure THEN 'uncertain' ELSE plain END AS verdict,
 CASE WHEN unsure THEN least(confidence, 45) WHEN plain = 'human' THEN least(confidence, 70) ELSE confidence END AS confidence FROM (
@@ -446,19 +455,46 @@ SELECT *, CASE plain WHEN 'human' THEN greatest(40, least(99, score)) WHEN 'ai'
 SELECT *, {_PLAIN} AS plain, (n_words < 30)::INT + (doc_id IN (SELECT k FROM d_issues WHERE kind = 'structure'))::INT + (coverage = 0)::INT AS reasons FROM metrics)))"""
 
 
+def judged(rows):
+    """rows of metrics with reasons to abstain, the verdict and its confidence."""
+    rows = rows.withColumn("reasons", verdict.abstain_reasons(F.col("n_words"), F.col("has_list"), F.col("coverage")))
+    told, confidence = verdict.verdict(F.col("score"), F.col("human"), F.col("ai"), F.col("coverage"), F.col("reasons"))
+    return rows.withColumns({"verdict": told, "confidence": confidence})
+
+
 @query("M02_M03_detect", _DETECT)
 def m02(spark, d):
-    """The verdict on three signals; compressibility, which SQL cannot say, is left to M01_analyze."""
-    rows = metrics(spark, d)
-    reasons = verdict.abstain_reasons(F.col("n_words"), F.col("has_list"), F.col("coverage"))
-    told, confidence = verdict.verdict(F.col("score"), F.col("human"), F.col("ai"), F.col("coverage"), reasons)
-    return rows.select("doc_id", "score", "human", "ai", told.alias("verdict"), confidence.alias("confidence"))
+    """The verdict on the three signals that SQL can say; M02_detect has all four."""
+    return judged(metrics(spark, d)).select("doc_id", "score", "human", "ai", "verdict", "confidence")
+
+
+@query("M02_detect")
+def m02_full(spark, d):
+    """The verdict with all that it rests on: signals, distribution, regions, reasons to abstain."""
+    rows = judged(metrics(spark, d, compress=True))
+    shown = [rounded(F.col(c)).alias(c) for c in ("perplexity", "burstiness", "coherence", "word_choice", "coverage")]
+    return rows.select("doc_id", "score", "human", "ai", "n_regions", "syntactic", *shown, F.array_join("reasons", " ").alias("reasons"), "verdict", "confidence")
+
+
+@query("M04_override", f"SELECT doc_id, CASE WHEN known THEN 'ai_derived' ELSE verdict END AS verdict, CASE WHEN known THEN 99 ELSE confidence END AS confidence FROM ({_DETECT}) JOIN (SELECT doc_id, {_KEY} IN (SELECT {_KEY} FROM drafts WHERE doc_id % 3 = 0) AS known FROM drafts) USING (doc_id)")
+def m04(spark, d):
+    """A text that the history has as an output is derived, whatever its style; a third of the drafts are in it."""
+    docs = drafts(spark, d)
+    told = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ts"), state.fingerprint(F.concat(F.lit(" "), "text", F.lit("\n"))).alias("output_key"))
+    rows = m02(spark, d).join(state.generated(docs, told), "doc_id", "left")
+    told, confidence = verdict.derived(F.col("verdict"), F.col("confidence"), F.col("entry"))
+    return rows.select("doc_id", told.alias("verdict"), confidence.alias("confidence"))
 
 
 @query("M01_analyze")
 def m01(spark, d):
-    rows = doc_issues(spark, d, compress=True)
-    return rows.select("doc_id", issues.naturalness(F.col("issues")).alias("score"), F.size("issues").alias("n_issues"))
+    """Score, issues by severity, and the metrics that they rest on."""
+    n = lambda severity: F.size(F.filter("issues", lambda i: i["severity"] == severity))
+    mean, cv = signals.length_stats(F.col("s"))
+    rows = sents(spark, d).withColumn("ratio", signals.compression_ratio(F.col("text")))
+    rows = rows.withColumn("issues", issues.distinct_issues(issues.checks(F.col("text"), F.col("s"), ratio=F.col("ratio"))))
+    return rows.select("doc_id", issues.naturalness(F.col("issues")).alias("score"), F.size("issues").alias("n_issues"), *[n(x).alias(f"n_{x}") for x in ("high", "medium", "low")],
+                       F.size(T.words(F.col("text"))).alias("n_words"), F.size("s").alias("n_sentences"), rounded(mean).alias("mean_length"), rounded(cv).alias("cv"), rounded(signals.type_token_ratio(F.col("text"))).alias("ttr"))
 
 
 @query("M05_percent_band", "SELECT event_id, CASE WHEN value IS NULL THEN 'unknown' WHEN value >= 75 THEN 'AI' WHEN value >= 50 THEN 'likely AI' WHEN value >= 25 THEN 'mixed' ELSE 'human' END AS band FROM events")
@@ -493,6 +529,25 @@ def m09(spark, d):
     return metrics(spark, d).select("doc_id", verdict.converged(F.col("score"), weak, F.col("long_regions"), F.lit(1.0), F.lit(0)).alias("converged"))
 
 
+@query("M10_M11_weak_signals")
+def m10_full(spark, d):
+    """Weak bands of the loop and of the bench, with compressibility among them."""
+    of = [F.col(c) for c in ("burstiness", "syntactic", "perplexity", "word_choice")]
+    rows = metrics(spark, d, compress=True)
+    return rows.select("doc_id", F.array_join(verdict.weak_bands(*of), " ").alias("weak"), F.array_join(verdict.weak_bands(*of, (50, 75, 50, 55), False), " ").alias("bench_weak"))
+
+
+@query("M09_converged")
+def m09_full(spark, d):
+    """The loop's gate on what it asks for: score, four bands, regions, plain register and numbers lost by the rewrite."""
+    rows = metrics(spark, d, compress=True)
+    weak = verdict.weak_bands(*[F.col(c) for c in ("burstiness", "syntactic", "perplexity", "word_choice")])
+    rows = rows.select("doc_id", "score", weak.alias("weak"), "long_regions").join(a16(spark, d), "doc_id")
+    lost = facts.lost(signals.number_tokens(F.col("text")), signals.number_tokens(transforms.rewrite(F.col("text"))))
+    rows = rows.join(drafts(spark, d).select("doc_id", F.size(lost).alias("n_lost")), "doc_id")
+    return rows.select("doc_id", "score", F.array_join("weak", " ").alias("weak"), "long_regions", "plain", "n_lost", verdict.converged(F.col("score"), F.col("weak"), F.col("long_regions"), F.col("plain"), F.col("n_lost")).alias("converged"))
+
+
 # Facts
 
 
@@ -661,22 +716,40 @@ def m14(spark, d):
     return evaluate.clean_rate(flags, "variant")
 
 
-_CANDIDATES = "SELECT conv_id, turn AS cand_id, length(text) % 100 AS score, length(text) % 7 / 7.0 AS plain, length(text) % 3 AS fact_lost, length(text) % 2 AS hard_drift, length(text) % 11 AS reuse FROM conversations"
+_CANDIDATES = f"""SELECT doc_id, v AS cand_id, score, plain, hard_drift, reuse,
+len(list_filter({_NUMBERS.format('before')}, lambda x: NOT list_contains({_NUMBERS.format('text')}, x))) AS fact_lost FROM (
+SELECT *, (({_NEGATIONS.format('before')} > 0) <> ({_NEGATIONS.format('text')} > 0))::INT AS hard_drift, coalesce(len(list_intersect(ga, gb)) * 100.0 / nullif(len(ga), 0), 0) AS reuse FROM (
+SELECT *, {S.grams('x', 5)} AS ga, {S.grams('y', 5)} AS gb FROM (
+SELECT *, regexp_extract_all(lower(before), '[a-z0-9'']+') AS x, regexp_extract_all(lower(text), '[a-z0-9'']+') AS y FROM vk JOIN vscore USING (k) JOIN vplain USING (k))))"""
 
 
 def candidates(spark, d):
-    n = F.length("text")
-    return table(spark, d, "conversations").select("conv_id", F.col("turn").alias("cand_id"), (n % 100).alias("score"), (n % 7 / 7.0).alias("plain"), (n % 3).alias("fact_lost"), (n % 2).alias("hard_drift"), (n % 11).alias("reuse"))
+    """The edit variants of each draft as candidates, each with its score, plainness, and what it lost of the draft."""
+    docs = drafts(spark, d)
+    number = F.array_position(F.array(*map(F.lit, ("original", "merged", "formal", "long"))), F.col("variant")) - 1
+    rows = evaluate.edit_variants(docs.select("doc_id", "text"), with_before=True).withColumn("cand_id", number)
+    before, after = F.col("before"), F.col("text")
+    found = issues.distinct_issues(issues.checks(after, T.sentences(after)))
+    rows = rows.withColumns({
+        "doc": F.col("doc_id"),
+        "doc_id": F.col("doc_id") * 10 + F.col("cand_id"),
+        "score": issues.naturalness(found),
+        "fact_lost": F.size(facts.lost(signals.number_tokens(before), signals.number_tokens(after))),
+        "hard_drift": ((signals.negations(before) > 0) != (signals.negations(after) > 0)).cast("int"),
+        "reuse": overlap.reuse(before, after),
+    })
+    plain = signals.plain_register(rows.select("doc_id", "text"), everyday(spark, d))
+    return rows.drop("text", "before").join(plain, "doc_id").drop("doc_id").withColumnRenamed("doc", "doc_id")
 
 
-@query("O01_best_of", f"SELECT conv_id, cand_id, row_number() OVER (PARTITION BY conv_id ORDER BY hard_drift, reuse, score DESC, cand_id)::INT AS rank FROM ({_CANDIDATES})")
+@query("O01_best_of", S.with_variants(f"SELECT doc_id, cand_id, row_number() OVER (PARTITION BY doc_id ORDER BY hard_drift, round(reuse, 6), score DESC, cand_id)::INT AS rank FROM ({_CANDIDATES})"), whole=True)
 def o01(spark, d):
-    return evaluate.best_of(candidates(spark, d), "conv_id").select("conv_id", "cand_id", "rank")
+    return evaluate.best_of(candidates(spark, d).withColumn("reuse", rounded(F.col("reuse"))), "doc_id").select("doc_id", "cand_id", "rank")
 
 
-@query("O02_W09_M13_compared", f"SELECT conv_id, cand_id, rank, rank = 1 AS best FROM (SELECT conv_id, cand_id, row_number() OVER (PARTITION BY conv_id ORDER BY (score >= 75) DESC, score DESC, plain DESC, fact_lost, cand_id)::INT AS rank FROM ({_CANDIDATES}))")
+@query("O02_W09_M13_compared", S.with_variants(f"SELECT doc_id, cand_id, score, fact_lost, rank, rank = 1 AS best FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (score >= 75) DESC, score DESC, round(plain, 6) DESC, fact_lost, cand_id)::INT AS rank FROM ({_CANDIDATES}))"), whole=True)
 def o02(spark, d):
-    return evaluate.compared(candidates(spark, d), "conv_id").select("conv_id", "cand_id", "rank", "best")
+    return evaluate.compared(candidates(spark, d).withColumn("plain", rounded(F.col("plain"))), "doc_id").select("doc_id", "cand_id", "score", "fact_lost", "rank", "best")
 
 
 # State
@@ -703,6 +776,14 @@ def s11b(spark, d):
     return state.without(h, h.where("style = 'user'").select("id")).select("id")
 
 
+@query("S11_appended", "SELECT id, ts, style, output_key, length(output) AS n_chars FROM hist UNION ALL SELECT -event_id - 1, floor(epoch(ts))::BIGINT, event_type, sha256('' || event_id), least(20000, 2000 * (event_id % 20)) FROM events")
+def s11c(spark, d):
+    """Entries put to the history; an output of over 20,000 characters is kept up to there, its fingerprint is the whole's."""
+    events = table(spark, d, "events")
+    new = events.select((-F.col("event_id") - 1).alias("id"), F.floor(F.col("ts").cast("timestamp").cast("double")).cast("long").alias("ts"), F.col("event_type").alias("style"), F.repeat(F.lit("ab"), (F.col("event_id") % 20 * 1000).cast("int")).alias("output"), F.sha2(F.col("event_id").cast("string").cast("binary"), 256).alias("output_key"), F.lit(0.0).alias("score"))
+    return state.appended(history(spark, d), new).select("id", "ts", "style", "output_key", F.length("output").cast("long").alias("n_chars"))
+
+
 @query("J09_M04_provenance", "SELECT d.id AS doc_id, h.id AS entry FROM (SELECT id, output_key FROM hist) d JOIN (SELECT output_key, arg_max(id, ts * 1000000000 + id) AS id FROM hist GROUP BY output_key) h USING (output_key)")
 def j09(spark, d):
     h = history(spark, d)

@@ -180,3 +180,19 @@ def needed(body: str) -> list[str]:
 def with_(body: str) -> str:
     names = needed(body)
     return ("WITH " + ",\n".join(f"{n} AS ({DOCS[n]})" for n in names) + "\n" if names else "") + body
+
+
+def with_variants(body: str) -> str:
+    """A query over vk (k, doc_id, v, before, text), the edit variants of the drafts, with their issues, scores and plainness."""
+    long = "replace(replace(replace(replace(text, 'don''t', 'do not'), 'isn''t', 'is not'), 'can''t', 'cannot'), 'it''s', 'it is')"
+    each = ["text", r"regexp_replace(text, '\. (It|The|We) ', ', and \1 ', 'g')", "replace(replace(text, ' get ', ' obtain '), ' use ', ' employ ')", long]
+    stops = f"SELECT unnest({listed(lexicon.STOPWORDS)})"
+    relations = {
+        "drafts": DRAFTS,
+        "vk": " UNION ALL ".join(f"SELECT doc_id * 10 + {v} AS k, doc_id, {v}::BIGINT AS v, text AS before, {new} AS text FROM drafts" for v, new in enumerate(each)),
+        **checks("vk", "v"),
+        "vscore": DOCS["score"].replace("dk", "vk").replace("d_issues", "v_issues").replace("vk.k AS doc_id", "vk.k AS k"),
+        "freq": DOCS["freq"],
+        "vplain": f"SELECT k, coalesce(sum((word IN (SELECT word FROM freq UNION {stops}))::INT)::DOUBLE / nullif(count(word), 0), 1) AS plain FROM (SELECT k, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) AS word FROM (SELECT k, {letters('text')} AS t FROM vk)) GROUP BY k",
+    }
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in relations.items()) + "\n" + body

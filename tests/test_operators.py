@@ -6,10 +6,13 @@ import zlib
 from collections import defaultdict, deque
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prosemeter.functions import text as T
-from prosemeter.operators import diff, facts, issues, passages, signals, state, transforms, verdict
+from prosemeter.operators import diff, facts, issues, passages, rhythm, signals, state, transforms, verdict
+from prosemeter.plans import catalog
 from prosemeter.sources import files
 
 
@@ -188,3 +191,102 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     assert scored == {tuple(r) for r in S.scored(docs).collect()}
     limited = all_of(S.rate_limited(stream, "user_id", 86400 * 3, 2, late="400 days"), "limited", "append")
     assert limited == {tuple(r) for r in state.rate_limited(source, "user_id", 86400 * 3, 2).collect()}
+
+
+def test_openers_to_the_rule(spark):
+    t = "Furthermore, we met. Notably, it rained. Overall the day was fine. Hence we left."
+    seen = {one(spark, transforms.varied_openers(F.lit(k), F.col("t"), 1.0), t=t) for k in range(12)}
+    assert {x.split(",")[0] for x in seen} == {"Also", "What is more"}  # both alternatives are drawn
+    assert all("It rained. The day was fine. Hence we left." in x for x in seen)  # at 1.1 every hedge goes; no comma, no swap
+    short = "Furthermore, we met. Notably, it rained."
+    assert one(spark, transforms.varied_openers(F.lit(1), F.col("t"), 1.0), t=short) == short
+
+
+def test_synonyms_see_words_with_punctuation_and_capitals(spark):
+    got = {one(spark, transforms.synonyms(F.lit(k), F.col("t"), 1.0), t="Important, it is important. Unimportant.") for k in range(40)}
+    assert any(x.startswith(("Key,", "Central,")) for x in got) and any("key." in x or "central." in x for x in got)
+    assert all(x.endswith(" Unimportant.") for x in got)
+
+
+def _cv(sizes):
+    mean = sum(sizes) / len(sizes)
+    return (sum((x - mean) ** 2 for x in sizes) / (len(sizes) - 1)) ** 0.5 / mean
+
+
+@given(st.lists(st.integers(0, 60), max_size=40), st.lists(st.integers(0, 60), max_size=5))
+def test_lengths_by_sums(sizes, more):
+    lengths = rhythm.Lengths(sizes)
+    lengths.change(sizes[:2], more)
+    now = sizes[2:] + more
+    assert lengths.cv() == pytest.approx(_cv(now) if len(now) > 1 and sum(now) else 0.0)
+
+
+_CLAUSE = "the old man walked along the river in the early evening"
+
+
+def test_forced_rhythm_goes_on_until_lengths_vary(spark):
+    flat = " ".join(["The old man walked along the river, and the small dog ran behind him in the rain all day long."] * 12)
+    got = one(spark, transforms.forced_rhythm(F.col("t")), t=flat)
+    sizes = [rhythm.size(s) for s in one(spark, T.sentences(F.col("t")), t=got)]
+    assert _cv(sizes) >= 0.30 and len(sizes) > 12
+    assert sizes[-1] == 20  # and no longer than that
+    assert re.sub(r"[^a-z]", "", got.lower()).count("thesmalldog") == 12  # nothing is lost
+    joined = one(spark, transforms.forced_rhythm(F.col("t")), t=" ".join([f"{_CLAUSE.capitalize()} alone."] * 10))
+    assert _cv([rhythm.size(s) for s in joined.split(". ")]) >= 0.30
+    for left in ("Short one. And two. Then three. So four.", "One. Two.", "", f"{_CLAUSE}."):
+        assert one(spark, transforms.forced_rhythm(F.col("t")), t=left) == left
+    assert one(spark, transforms.forced_rhythm(F.col("t")), t=None) is None
+
+
+def test_what_is_cut_and_joined():
+    assert rhythm.halves("one two three four five six; seven eight nine ten eleven.") == ["one two three four five six.", "Seven eight nine ten eleven."]
+    assert rhythm.halves("one two three, and four five six, but seven eight nine ten eleven") == ["one two three, and four five six.", "Seven eight nine ten eleven."]
+    assert rhythm.halves("one two three four five six, and seven.") is None
+    a = f"{_CLAUSE.capitalize()} alone."
+    assert rhythm.joinable(a, a, rhythm.FLAT) and not rhythm.joinable(a, "Moreover, " + a, rhythm.FLAT) and not rhythm.joinable(a[:-1] + "?", a, rhythm.FLAT)
+    assert rhythm.joined("It went on.", "The end came.") == "It went on, and the end came." and rhythm.joined("It went on.", "Alice left.") == "It went on, and Alice left."
+
+
+def test_length_stages_have_chances_and_conditions(spark):
+    long = "; ".join([_CLAUSE] * 4).capitalize() + "."
+    flat = " ".join([long] * 8)
+    n = {k: len(one(spark, T.sentences(transforms.varied_length(F.lit(k), F.col("t"), 0.0, 6, 32)), t=flat)) for k in range(8)}
+    assert len(set(n.values())) > 1 and all(8 <= x <= 16 for x in n.values())  # each long one is cut with chance .4
+    plain = " ".join([f"{x} {_CLAUSE} alone." for x in ("Now", "Once", "Here", "Later")])
+    assert one(spark, transforms.diversified(F.lit(1), F.col("t"), F.lit(None).cast("string")), t=plain) == plain  # no issue in the source
+    told = one(spark, transforms.diversified(F.lit(1), F.col("t"), F.lit("Moreover, it plays a crucial role.")), t=plain)
+    assert told != plain and _cv([rhythm.size(s) for s in re.split(r"(?<=[.]) ", told)]) >= 0.30
+
+
+def test_detect_on_all_signals(spark, sf):
+    """The verdict and its confidence, the score and the weak bands by plain Python from the signals told."""
+    clean = lambda v: None if v is None or v != v else v
+    rows = {r["doc_id"]: {k: clean(v) for k, v in r.items()} for r in catalog.QUERIES["M02_detect"](spark, sf).toPandas().to_dict("records")}
+    ratios = {r.doc_id: r.perplexity for r in catalog.QUERIES["A06_A07_compression"](spark, sf).collect()}
+    weak = {r.doc_id: r for r in catalog.QUERIES["M10_M11_weak_signals"](spark, sf).collect()}
+    assert len(rows) == len(ratios) == len(weak) and any(r["perplexity"] is not None for r in rows.values())
+    for k, r in rows.items():
+        four = [r[c] for c in ("perplexity", "burstiness", "coherence", "word_choice")]
+        covered = sum(x is not None for x in four) / 4
+        assert r["coverage"] == pytest.approx(covered) and r["perplexity"] == (None if ratios[k] is None else pytest.approx(ratios[k], abs=1e-6))
+        score, human, ai = r["score"], r["human"], r["ai"]
+        plain = "human" if human >= 70 and score >= 70 else "mixed" if human >= 40 and score >= 50 else "ai"
+        base = {"human": min(99, max(40, score)), "ai": min(99, max(40, 100 - score)), "mixed": 62}[plain]
+        sure = max(30, min(99, round(base * (0.7 + 0.3 * covered))))
+        unsure = r["reasons"] and not (plain == "ai" and (score <= 25 or ai >= 75))
+        assert (r["verdict"], r["confidence"]) == (("uncertain", min(sure, 45)) if unsure else (plain, min(sure, 70) if plain == "human" else sure))
+        under = lambda v, floor: v is not None and v < floor
+        named = [n for n, v, f in (("burstiness", r["burstiness"], 50), ("syntactic", r["syntactic"], 70), ("perplexity", r["perplexity"], 40)) if under(v, f)]
+        assert weak[k].weak.split() == named + ["word_choice"] * (under(r["word_choice"], 40) and r["syntactic"] < 70)
+
+
+def test_gate_and_analysis(spark, sf):
+    rows = catalog.QUERIES["M09_converged"](spark, sf).collect()
+    assert rows and all(r.converged == (r.score >= 80 and not r.weak and r.long_regions == 0 and r.plain >= 0.78 and r.n_lost == 0) for r in rows)
+    told = catalog.QUERIES["M01_analyze"](spark, sf).collect()
+    assert len(told) == len(rows)
+    assert all(r.n_issues == r.n_high + r.n_medium + r.n_low and r.score == max(0, 100 - 12 * r.n_high - 6 * r.n_medium - 3 * r.n_low) for r in told)
+
+
+def test_history_is_cleared(spark):
+    assert state.cleared(spark.range(3)).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -106,6 +107,14 @@ def blocks(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterat
         yield batch.slice(start)
 
 
+def let_go() -> None:
+    """Gives back what this worker's allocators hold but do not use; idle workers count towards an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def over_texts(function: Callable[[list[bytes | None]], pa.Array], returns: str) -> Callable[[Column], Column]:
     """A column function that maps whole texts, as bytes, block by block. The type is as in DDL.
 
@@ -122,7 +131,7 @@ def over_texts(function: Callable[[list[bytes | None]], pa.Array], returns: str)
     return lambda text: mapped(text.cast("binary"))
 
 
-def bounded_batches(spark: SparkSession, limit: str = "33554432") -> None:
+def bounded_batches(spark: SparkSession, limit: str = "8388608") -> None:
     """Lets Spark cut the batches it sends to Python workers by bytes also, unless the session says how."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) in (None, str(2**31 - 1), "2147483647b"):

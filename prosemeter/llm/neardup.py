@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, join_each, materialise, possibly_in
+from .common import blocks, discard, join_each, let_go, materialise, possibly_in
 
 #: Minimum hashes of a class; trees of the forest; hashes of a tree's order; members of a small region; rows of a frame.
 POOL, TREES, DEPTH, REGION, FRAME = 64, 16, 8, 32, 32
@@ -102,6 +102,7 @@ def _signed(pool: int, width: int):
                 total += np.bincount((np.concatenate([np.empty(0, np.uint64), *sets]) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
                 sigs = _lists([signature(s, x, a) if len(s) else none for s in sets], np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_digest, sets), pa.binary()), sigs, pa.nulls(len(sets), pa.binary())], names)
+        let_go()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.binary()), _lists([none], np.int32), pa.array([total.tobytes()], pa.binary())], names)
 
     return run
@@ -122,6 +123,7 @@ def _sets(width: int):
             for batch in blocks(whole, 1):
                 sets = [shingle_set(raw.as_py(), width) for raw in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, sets), pa.binary()), _lists([s.view(np.int64) for s in sets], np.int64)], ["doc_id", "digest", "shingles"])
+        let_go()
 
     return run
 
@@ -138,6 +140,7 @@ def _prefixes(counts, percent: int, width: int):
                     by = np.lexsort((own, counts.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))
                     rare.append(own[by[: len(own) + 1 - -(-percent * len(own) // 100)]].view(np.int64) if len(own) else own.view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), _lists(rare, np.int64)], ["doc_id", "digest", "size", "prefix"])
+        let_go()
 
     return run
 
@@ -189,6 +192,7 @@ def _neighbours(frame: int, best: int | None, percent: int, trees: int, pool: in
                 i, j, same = i[rank < best], j[rank < best], same[rank < best]
             a, b = cls[i], cls[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(same.astype(np.int32))], ["lo", "hi", "same"])
+        let_go()
 
     return run
 

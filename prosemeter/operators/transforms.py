@@ -102,7 +102,7 @@ def capitalised(text: Column) -> Column:
 
 def both_and(text: Column) -> Column:
     """The first "not only A but (also) B" of each sentence becomes "both A and B"."""
-    return F.array_join(F.transform(sentences(text), lambda s: F.regexp_replace(s, r"^(.*?)\bnot only ([^,.;]+?),? but (?:also )?", "$1both $2 and ")), " ")
+    return F.array_join(F.transform(sentences(text), lambda s: F.regexp_replace(s, r"^((?s:.*?))\bnot only ([^,.;]+?),? but (?:also )?", "$1both $2 and ")), " ")
 
 
 def dehedged(text: Column) -> Column:

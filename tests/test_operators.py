@@ -290,3 +290,9 @@ def test_gate_and_analysis(spark, sf):
 
 def test_history_is_cleared(spark):
     assert state.cleared(spark.range(3)).count() == 0
+
+
+def test_both_and_over_lines(spark):
+    """What stands before "not only" may hold line breaks."""
+    got = one(spark, transforms.both_and(F.col("t")), t="a | b\r\nc\u0085d It is not only fast but also cheap. E\nnot only f but g.")
+    assert got == "a | b\r\nc\u0085d It is both fast and cheap. E\nboth f and g."

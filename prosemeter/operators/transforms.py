@@ -97,7 +97,7 @@ def word_swaps(text: Column) -> Column:
 
 def capitalised(text: Column) -> Column:
     """Each sentence with a capital; what stands between sentences becomes one space."""
-    return F.array_join(F.transform(sentences(text), lambda s: F.concat(F.upper(F.left(s, F.lit(1))), F.substring(s, 2, 1 << 30))), " ")
+    return F.array_join(F.transform(sentences(text), _capital), " ")
 
 
 def both_and(text: Column) -> Column:
@@ -147,8 +147,17 @@ def varied_openers(key: Column, text: Column, intensity: float, seed: int = 0) -
     return let(sentences(text), lambda s: F.when(F.size(s) < 3, text).otherwise(F.array_join(F.transform(s, of), " ")))
 
 
+#: Letters whose upper() has several characters, as SS for ß, and those that only Unicode 16 has capitals for; SQL's
+#: upper() gives one character for one: ẞ, a Greek letter's title form, or the letter itself.
+_CAPITALS = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x10000)) if len(c.upper()) > 1} | {"ß": "ẞ"}
+_CAPITALS |= {chr(i): chr(i) for i in (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86))}
+
+
 def _capital(x: Column) -> Column:
-    return F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 30))
+    """x with a capital of one character at its head."""
+    head = F.left(x, F.lit(1))
+    own = F.element_at(F.create_map(*[F.lit(c) for pair in _CAPITALS.items() for c in pair]), head)
+    return F.concat(F.when(head < "\x80", F.upper(head)).otherwise(F.coalesce(own, F.upper(head))), F.substring(x, 2, 1 << 30))
 
 
 def _by_hits(key: Column, text: Column, table: dict[str, list[str]], p: float, seed: int, stage: str) -> Column:

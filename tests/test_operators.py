@@ -292,6 +292,17 @@ def test_history_is_cleared(spark):
     assert state.cleared(spark.range(3)).count() == 0
 
 
+def test_capitals_of_one_character(spark):
+    """As SQL's upper() has it, for every letter whose capital Spark writes with more characters, and some others."""
+    import duckdb
+
+    letters = [c for c in map(chr, range(0x80, 0x11000)) if len(c.upper()) > 1 or c in "éǆⅷⓩыʼ1中𐑎ƛɤ"]
+    want = [w for (w,) in duckdb.execute("SELECT upper(c) || 'x.' FROM (SELECT unnest(?) AS c, unnest(range(?)) AS i) ORDER BY i", [letters, len(letters)]).fetchall()]
+    rows = spark.createDataFrame([(i, c + "x.") for i, c in enumerate(letters)], "i int, t string")
+    got = [r.x for r in rows.select("i", transforms.capitalised(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert len(got) > 100 and got == want
+
+
 def test_both_and_over_lines(spark):
     """What stands before "not only" may hold line breaks."""
     got = one(spark, transforms.both_and(F.col("t")), t="a | b\r\nc\u0085d It is not only fast but also cheap. E\nnot only f but g.")

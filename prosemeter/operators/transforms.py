@@ -81,18 +81,30 @@ def conditional_transitions(text: Column) -> Column:
 
 
 def transition_openers(text: Column) -> Column:
-    """The first alternative for a transition that begins a sentence, capitalised."""
-    for word, other in lexicon.TRANSITION_SWAPS.items():
-        text = F.regexp_replace(text, rf"(^|(?<=[.!?] )){word.capitalize()}\b", other.capitalize())
-    return text
+    """The first alternative for a transition that begins a sentence, capitalised; one search for all of them."""
+    table = {k.capitalize(): v.capitalize() for k, v in lexicon.TRANSITION_SWAPS.items()}
+    return _at_once(text, rf"(?:^|(?<=[.!?] )){lexicon.trie(list(table))}\b", table)
 
 
 def word_swaps(text: Column) -> Column:
-    """Hyphenated words first, then words, each token by itself; a capital at the head is kept."""
-    for word, other in sorted(lexicon.WORD_SWAPS.items(), key=lambda x: ("-" not in x[0], -len(x[0]), x[0])):
-        for a, b in ((word, other), (word.capitalize(), other.capitalize())):
-            text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_-]){re.escape(a)}(?![A-Za-z0-9_-])", b)
-    return text
+    """Whole tokens, hyphens included, all found by one search; a capital at the head is kept, other capitals are not met.
+
+    No word of the table is another's replacement, so one pass does what a pass for each word would do.
+    """
+    table = {form(k): form(v) for k, v in lexicon.WORD_SWAPS.items() for form in (str, str.capitalize)}
+    return _at_once(text, rf"(?<![A-Za-z0-9_-]){lexicon.trie(list(table))}(?![A-Za-z0-9_-])", table)
+
+
+def _at_once(text: Column, pattern: str, table: dict[str, str]) -> Column:
+    """Each match of a pattern, all of which are keys of the table, replaced; a text without any is not split."""
+    others = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.when(text.rlike(pattern), _changed(text, pattern, lambda m, _: F.element_at(others, m))).otherwise(text)
+
+
+def _changed(text: Column, pattern: str, change: Callable[[Column, Column], Column]) -> Column:
+    """A text with each match changed, by the match and its place among them; what stands around is kept."""
+    changed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
+    return F.array_join(F.flatten(F.zip_with(F.split(text, pattern), changed, lambda part, m: F.array(part, F.coalesce(m, F.lit(""))))), "")
 
 
 def capitalised(text: Column) -> Column:
@@ -172,8 +184,7 @@ def _by_hits(key: Column, text: Column, table: dict[str, list[str]], p: float, s
         cased = F.when(F.left(m, F.lit(1)) == F.lower(F.left(m, F.lit(1))), new).otherwise(_capital(new))
         return F.when(chance(key, seed, stage, i) < p, cased).otherwise(m)
 
-    changed = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), swapped)
-    return F.array_join(F.flatten(F.zip_with(F.split(text, pattern), changed, lambda part, m: F.array(part, F.coalesce(m, F.lit(""))))), "")
+    return _changed(text, pattern, swapped)
 
 
 def synonyms(key: Column, text: Column, intensity: float, seed: int = 0) -> Column:

@@ -10,6 +10,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from prosemeter.functions import lexicon
 from prosemeter.functions import text as T
 from prosemeter.operators import diff, facts, issues, passages, rhythm, signals, state, transforms, verdict
 from prosemeter.plans import catalog
@@ -307,3 +308,30 @@ def test_both_and_over_lines(spark):
     """What stands before "not only" may hold line breaks."""
     got = one(spark, transforms.both_and(F.col("t")), t="a | b\r\nc\u0085d It is not only fast but also cheap. E\nnot only f but g.")
     assert got == "a | b\r\nc\u0085d It is both fast and cheap. E\nboth f and g."
+
+
+def test_word_swaps_are_those_of_a_pass_for_each_word(spark):
+    def plain(t):
+        for word, other in sorted(lexicon.WORD_SWAPS.items(), key=lambda x: ("-" not in x[0], -len(x[0]), x[0])):
+            for a, b in ((word, other), (word.capitalize(), other.capitalize())):
+                t = re.sub(rf"(?<![A-Za-z0-9_-]){re.escape(a)}(?![A-Za-z0-9_-])", b, t)
+        return t
+
+    keys = list(lexicon.WORD_SWAPS)
+    assert not set(keys) & {w for v in lexicon.WORD_SWAPS.values() for w in v.lower().split()}
+    texts = [" ".join(keys), " ".join(map(str.capitalize, keys)), "-".join(keys), " ".join(k + "s" for k in keys), "prior,prior-prior Prior’s éprior_ PRIOR\nrobust", "prior", "no hit", ""]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {r.i: r.x for r in table.select("i", transforms.word_swaps(F.col("t")).alias("x")).collect()}
+    assert got == {**{i: plain(t) for i, t in enumerate(texts)}, len(texts): None}
+    plan = table.select(transforms.word_swaps(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 0
+
+
+def test_transition_openers_are_those_of_a_pass_for_each(spark):
+    def plain(t):
+        for word, other in lexicon.TRANSITION_SWAPS.items():
+            t = re.sub(rf"(^|(?<=[.!?] )){word.capitalize()}\b", other.capitalize(), t)
+        return t
+
+    t = " ".join(f"{k.capitalize()}, a. {k.capitalize()} b {k.capitalize()}ly? {k}!" for k in lexicon.TRANSITION_SWAPS)
+    assert one(spark, transforms.transition_openers(F.col("t")), t=t) == plain(t)

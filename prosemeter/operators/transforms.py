@@ -29,7 +29,7 @@ def _case_like(model: str, word: str) -> str:
 
 def swapper(table: dict[str, str]) -> Callable[[str], str]:
     """Replaces all whole phrases of a table, longest first, keeping a capital at the head; deletions tidy up."""
-    pattern = re.compile(r"\b(?:" + "|".join(re.escape(k) for k in sorted(table, key=lambda k: (-len(k), k))) + r")\b", re.IGNORECASE)
+    pattern = re.compile(rf"\b{lexicon.trie(list(table))}\b", re.IGNORECASE)
     deletes = any(not v for v in table.values())
 
     def once(text: str) -> str:

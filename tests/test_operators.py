@@ -347,6 +347,17 @@ def test_guidance_names_each_word_once_a_text(spark, tmp_path):
     assert "array_intersect" in plan and "array_contains" not in plan
 
 
+def test_swaps_take_the_longest_phrase(spark):
+    """The tables' phrases as one alternation, longest first, in plain Python."""
+    for table in (lexicon.PHRASE_SWAPS, lexicon.PLAIN_SWAPS):
+        keys = sorted(table, key=lambda k: (-len(k), k))
+        pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, keys)) + r")\b", re.IGNORECASE)
+        texts = [*keys, *[k + "s " + k.upper() for k in keys], " ".join(keys)]
+        for t in texts:
+            found = [m[0] for m in pattern.finditer(t)]
+            assert [m[0] for m in re.finditer(rf"\b{lexicon.trie(list(table))}\b", t, re.IGNORECASE)] == found
+
+
 def test_equal_edits_are_computed_once(spark):
     """Each different text once, with all variants that have it; all variants come back."""
     texts = ["Nothing here.", "We get it. The rest isn't it's.", "a get it", "", None]
